@@ -18,7 +18,7 @@ from annalist.sources.shared import materialize
 
 
 def plain_id(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""))
+    return F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
 
 
 def references(df: DataFrame, from_table: str, key: str, time: str, fields: dict[str, str]) -> DataFrame:
