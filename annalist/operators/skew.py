@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is hot when it holds more than one part in SHARES of all rows, so there are fewer than SHARES hot keys.
 SHARES = 512
@@ -19,7 +20,7 @@ def hot_keys(df: DataFrame, keys: list[str], total: int, least: int = 100_000, s
     if not rows:
         return None
     spark = df.sparkSession
-    schema = df.select(*keys).schema.add("n_rows", "long").add("salts", "int")
+    schema = df.select(*keys).schema.add("n_rows", T.LongType()).add("salts", T.IntegerType())
     return spark.createDataFrame([(*r, -(-r["n_rows"] // limit)) for r in rows], schema)
 
 
