@@ -7,7 +7,8 @@ broadcast set whose size was checked.
 
 Defined results: lines agree after lower-casing, turning each run of other characters than a-z into a space and trimming; below 12
 characters a line never counts; a line counts if it stands on at least 5 and at least 20 % of the source's distinct pages, over all
-their versions; null sources, pages and texts hold no repeated line (a null text stays null); equal rows count once.
+their versions; null sources and texts hold no repeated line (a null text stays null); a row
+without page counts on no page, but loses its source's repeated lines; equal rows count once.
 """
 
 from __future__ import annotations
