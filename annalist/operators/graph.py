@@ -68,7 +68,7 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(degrees(edges), "id", "left_anti")
 
 
-def chain_ends(edges: DataFrame, most: int = 64) -> DataFrame:
+def chain_ends(edges: DataFrame) -> DataFrame:
     """id, end, hops: where a chain of successors ends (the smallest successor where there are several).
 
     Pointer jumping: every round doubles the hops, so a chain of n needs about log2(n) rounds; each round is written to the shared folder.
@@ -76,22 +76,22 @@ def chain_ends(edges: DataFrame, most: int = 64) -> DataFrame:
     """
     one = edges.filter("source is not null and target is not null and source <> target").groupBy(F.col("source").alias("id")).agg(F.min("target").alias("end"))
     jump = materialize(one.withColumn("hops", F.lit(1)), "chain")
-    for _ in range(max(1, most.bit_length())):
+    for _ in range(jump.count().bit_length() + 1):  # no chain has more hops than there are nodes
         on = jump.select(F.col("id").alias("end"), F.col("end").alias("next"), F.col("hops").alias("more"))
         grown = jump.join(on, "end", "left").select("id", F.coalesce("next", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved"))
         grown = materialize(grown, "chain")
         jump = grown.drop("moved")
         if not grown.filter("moved").limit(1).count():
             return jump
-    return jump.join(jump.select(F.col("id").alias("end")), "end", "left_anti")
+    return jump.join(jump.select(F.col("id").alias("end")), "end", "left_anti").select("id", "end", "hops")
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id): labels spread along edges and their labels' labels until none changes."""
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).filter("source is not null and target is not null").distinct()
     both = materialize(both, "edges")
     label = materialize(both.groupBy(F.col("source").alias("id")).agg(F.least(F.col("source"), F.min("target")).alias("label")), "labels")
-    for _ in range(most):
+    while True:  # labels only ever get smaller
         near = both.join(label.select(F.col("id").alias("target"), "label"), "target").groupBy(F.col("source").alias("id")).agg(F.min("label").alias("near"))
         step = label.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         up = label.select(F.col("id").alias("label"), F.col("label").alias("up"))

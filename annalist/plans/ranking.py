@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.operators import eligibility as E
 from annalist.operators import graph as G
 from annalist.operators import metrics as M
 from annalist.operators import retrieval as R
+from annalist.operators import scan
 from annalist.operators import segmentation as S
 from annalist.plans.rules import LINKS, REG, links, register
 from annalist.sources.shared import table
@@ -57,24 +57,20 @@ _BM25 = (
 )
 
 
-def _bm25(spark, d):
-    return R.bm25_scores(passages(spark, d), "chunk_id", "text", asked(spark, d))
+def _bm25(spark, d, k):
+    return scan.bm25_top_k(passages(spark, d), "chunk_id", "text", asked(spark, d), k)
 
 
 @query(_BM25 + " SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM bm WHERE rank <= 5")
 def r2_bm25_topk(spark, d):
-    return R.top_k(_bm25(spark, d), "chunk_id", 5)
+    return _bm25(spark, d, 5)
 
 
 @query(_BM25 + """, e AS (SELECT s.* FROM s JOIN asked USING (query_id) JOIN passages USING (chunk_id) WHERE coalesce(in_force_from <= day, true) AND coalesce(day < in_force_to, true))
   SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM e QUALIFY rank <= 5""")
 def r7_bm25_asof_topk(spark, d):
     """The filter comes before the cut."""
-    s = _bm25(spark, d).join(F.broadcast(asked(spark, d).select("query_id", "day")), "query_id").join(passages(spark, d).select("chunk_id", "in_force_from", "in_force_to"), "chunk_id")
-    return R.top_k(s.filter(E.in_force_on(F.col("day"))).select("query_id", "chunk_id", "score"), "chunk_id", 5)
-
-
-_CORPUS = _BM25 + """, qn AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY 1)"""
+    return scan.bm25_top_k(passages(spark, d), "chunk_id", "text", asked(spark, d), 5, ("in_force_from", "in_force_to"))
 
 
 @query(f"WITH {_PASS}, w AS (SELECT chunk_id, unnest(regexp_extract_all({_NORM.replace('$X', 'text')}, '[a-z0-9]+')) AS term FROM passages) SELECT term, count(*) AS cf, count(DISTINCT chunk_id) AS df FROM w GROUP BY 1")
@@ -91,7 +87,7 @@ _VEC = """WITH q AS (SELECT vec_id AS query_id, embedding AS e, label AS ql FROM
 def _dense(spark, d):
     v = table(spark, d, "embeddings")
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.top_k(R.dense_scores(v, "vec_id", "embedding", q).filter("vec_id <> query_id"), "vec_id", 10)
+    return scan.dense_top_k(v, "vec_id", "embedding", q, 10)
 
 
 @query(_VEC + " SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM k")
@@ -121,20 +117,26 @@ _BLEND = f"""WITH {_ASK}, {_PASS},
   br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bl)"""
 
 
-def _blended(spark, d):
-    return R.blended_scores(passages(spark, d), "chunk_id", "text", "document_title", asked(spark, d))
+def _blended(spark, d, k):
+    return scan.blended_top_k(passages(spark, d), "chunk_id", "text", "document_title", asked(spark, d), k)
 
 
 @query(_BLEND + " SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM br WHERE rank <= 5")
 def r5_blended_topk(spark, d):
-    return R.top_k(_blended(spark, d), "chunk_id", 5)
+    return _blended(spark, d, 5)
+
+
+@query()
+def r5_blended_blake2b_topk(spark, d):
+    """The same with vectors hashed by blake2b, which SQL lacks."""
+    return scan.blended_top_k(passages(spark, d), "chunk_id", "text", "document_title", asked(spark, d), 5, scan.blake_place)
 
 
 @query(_BM25 + ", " + _BLEND.split(_PASS + ",", 1)[1] + """,
   f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(rank) FILTER (n = 0) AS r0, min(rank) FILTER (n = 1) AS r1 FROM (SELECT query_id, chunk_id, rank, 0 AS n FROM bm WHERE rank <= 100 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM br WHERE rank <= 100) GROUP BY 1, 2)
   SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST, chunk_id) AS INT) AS rank FROM f QUALIFY rank <= 10""")
 def r4_hybrid_rrf(spark, d):
-    fused = R.rrf([R.top_k(_bm25(spark, d), "chunk_id", R.DEPTH), R.top_k(_blended(spark, d), "chunk_id", R.DEPTH)], "chunk_id")
+    fused = R.rrf([_bm25(spark, d, R.DEPTH), _blended(spark, d, R.DEPTH)], "chunk_id")
     return fused.filter("rank <= 10").select("query_id", "chunk_id", "score", "rank")
 
 
@@ -145,7 +147,7 @@ _GOLD = _BM25 + """, gold AS (SELECT query_id, count(*) AS n_gold FROM asked JOI
 def _gold(spark, d):
     q, p = asked(spark, d).select("query_id", "source_url", "paragraph_ref"), passages(spark, d).select("chunk_id", "source_url", "paragraph_ref")
     own = q.join(p, ["source_url", "paragraph_ref"])
-    hits = R.top_k(_bm25(spark, d), "chunk_id", 10).join(own.select("query_id", "chunk_id"), ["query_id", "chunk_id"])
+    hits = _bm25(spark, d, 10).join(own.select("query_id", "chunk_id"), ["query_id", "chunk_id"])
     return own.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold")), hits
 
 
@@ -171,7 +173,7 @@ def r6_expanded_ranking(spark, d):
     named = S.paragraph_references(p)
     first = p.filter("paragraph_ref is not null").groupBy("document_id", F.col("paragraph_ref").alias("label")).agg(F.min(F.struct("chunk_index", "chunk_id")).alias("t"))
     cites = named.join(first, ["document_id", "label"]).select("chunk_id", F.col("t.chunk_id").alias("target"), "place").filter("chunk_id <> target")
-    return R.expand(R.top_k(_bm25(spark, d), "chunk_id", 30), "chunk_id", cites)
+    return R.expand(_bm25(spark, d, 30), "chunk_id", cites)
 
 
 _SECT = rf"""WITH {_PASS}, c AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS cost, count(*) OVER (PARTITION BY parent_id) AS n FROM passages WHERE parent_id IS NOT NULL),
@@ -193,7 +195,7 @@ def r13_routes(spark, d):
 @query()
 def r14_answer_sentences(spark, d):
     q, p = asked(spark, d).select("query_id", "query"), passages(spark, d).select("chunk_id", F.col("document_title").alias("title"), "text")
-    return R.answer_sentences(R.top_k(_bm25(spark, d), "chunk_id", 5).join(p, "chunk_id").join(F.broadcast(q), "query_id"))
+    return R.answer_sentences(_bm25(spark, d, 5).join(p, "chunk_id").join(F.broadcast(q), "query_id"))
 
 
 # graph: documents and their links
@@ -333,7 +335,7 @@ def a22_bootstrap(spark, d):
 
 @query(_BM25 + """, t AS (SELECT query_id, max(score) AS top FROM bm GROUP BY 1) SELECT query_id, CASE WHEN coalesce(top, 0) < 12 THEN 'out_of_scope' ELSE 'grounded' END AS status FROM asked LEFT JOIN t USING (query_id)""")
 def r9_abstention(spark, d):
-    top = _bm25(spark, d).groupBy("query_id").agg(F.round(F.max("score"), 6).alias("top"))
+    top = _bm25(spark, d, 1).select("query_id", F.col("score").alias("top"))
     return asked(spark, d).select("query_id").join(top, "query_id", "left").select("query_id", F.when(F.coalesce("top", F.lit(0.0)) < 12, "out_of_scope").otherwise("grounded").alias("status"))
 
 

@@ -1,9 +1,9 @@
 import pytest
 
-from annalist.plans import data_changes, ranking, rules
+from annalist.plans import answers, data_changes, ranking, rules
 from oracle import database, same
 
-MODULES = (data_changes, rules, ranking)
+MODULES = (data_changes, rules, ranking, answers)
 WITH_SQL = [(n, f, m.SQL[n]) for m in MODULES for n, f in m.QUERIES.items() if n in m.SQL]
 WITHOUT = [(n, f) for m in MODULES for n, f in m.QUERIES.items() if n not in m.SQL]
 
