@@ -12,10 +12,26 @@ from annalist.operators import segmentation as S
 RELATIONS = (("SUPERSEDES", r"\b(?:supersed\w*|repeal\w*|replac\w*|withdrawn)\b"), ("AMENDS", r"\b(?:amend\w*|modif\w*|substitut\w*)\b"))
 
 
-def header_facts(text: Column, chars: int = 400) -> Column:
-    """(numbers, issued, first_line) as the head of a page prints them."""
-    head = F.substring(text, 1, chars)
-    return F.struct(S.references(head).alias("numbers"), T.parse_date(head).alias("issued"), F.substring_index(head, "\n", 1).alias("first_line"))
+#: A line that is only a date, as the data's country prints it.
+DATE_LINE = r"^\s*(?:(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}|\d{2}[./]\d{2}[./]\d{4})\s*$"
+_NUMBER = f"(?:{S.DEPARTMENT}|{S.SERIES})"
+
+
+def header_facts(text: Column, head: int = 3000) -> Column:
+    """(numbers, issued, title, first_line) as a page prints them.
+
+    numbers: the first reference number that begins in the first ``head`` characters (later ones are citations) and any printed directly
+    after it, in reading order. issued: the first of the five lines after them that is only a date. title: the first of these lines that
+    is neither blank nor a date, if the numbers stand on lines of their own. No number, no date and no title; the rest of the text is never cut.
+    """
+    found = rf"(?s)^(.{{0,{head - 1}}}?)({_NUMBER}(?:\s*{_NUMBER})*)"
+    before, own = F.regexp_extract(text, found, 1), F.regexp_extract(text, found, 2)
+    after = F.slice(F.split(F.substring(text, F.length(before) + F.length(own) + F.lit(1), F.length(text)), r"\r?\n"), 1, 5)
+    dated = F.get(F.filter(after, lambda x: x.rlike(DATE_LINE)), F.lit(0))
+    titled = F.get(F.filter(after, lambda x: (F.trim(x) != "") & ~x.rlike(DATE_LINE)), F.lit(0))
+    alone = (own != "") & before.rlike(r"(?:^|\n)[ \t]*\z") & (F.trim(F.get(after, F.lit(0))) == "")
+    numbers = F.transform(F.regexp_extract_all(own, F.lit(_NUMBER), F.lit(0)), T.department_reference)
+    return F.struct(numbers.alias("numbers"), F.when(own != "", T.parse_date(dated)).alias("issued"), F.when(alone, F.trim(titled)).alias("title"), F.substring_index(text, "\n", 1).alias("first_line"))
 
 
 def statements(docs: DataFrame, key: str, text: str) -> DataFrame:

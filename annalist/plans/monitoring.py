@@ -42,7 +42,7 @@ _MONTHS = "January|February|March|April|May|June|July|August|September|October|N
 )
 def x11_header_facts(spark, d):
     f = table(spark, d, "documents").filter("text is not null").select("doc_id", L.header_facts(F.col("text")).alias("f"))
-    return f.select("doc_id", F.array_join("f.numbers", " ").alias("numbers"), "f.issued", "f.first_line")
+    return f.select("doc_id", F.array_join("f.numbers", " ").alias("numbers"), "f.issued", "f.title", "f.first_line")
 
 
 _STATED = rf"""s AS (SELECT doc_id, unnest(q) AS quote, unnest(range(len(q))) AS place FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS q FROM documents WHERE text IS NOT NULL)),
