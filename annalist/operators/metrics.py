@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,17 +73,39 @@ def best_threshold(swept: DataFrame) -> DataFrame:
     return swept.agg(F.max(F.struct("balanced_accuracy", (-F.col("threshold")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), "b.balanced_accuracy")
 
 
+#: Below which share of the hash a Poisson weight of mean 1 is at most 0, 1, ... 5.
+_POISSON = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)
+
+
+def _weights(h: np.ndarray, resamples: np.ndarray) -> np.ndarray:
+    """A row's weight in each resample: the hash h seeds a splitmix64 stream, read at the resample's number."""
+    z = h[:, None] + (resamples[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    w = np.zeros(z.shape, np.uint8)
+    for t in _POISSON:
+        w += z > np.uint64(int(t * 2**64))
+    return w
+
+
 def bootstrap_mean(rows: DataFrame, value: str, resamples: int = 2000, seed: int = 7) -> DataFrame:
     """Mean and the 2.5 % and 97.5 % percentiles of resampled means.
 
     Poisson weights of a hash stand for drawing with replacement, so rows are never multiplied: each row adds to every resample's two
     sums on its own task, and the shuffle carries a row per task and resample.
     """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, sums = np.arange(resamples, dtype=np.uint64), np.zeros((2, resamples))
+        for b in batches:
+            pair, h = np.stack([b["v"].to_numpy(), np.ones(len(b))]), b["h"].to_numpy().view(np.uint64)
+            for at in range(0, len(b), 256):
+                sums += pair[:, at : at + 256] @ _weights(h[at : at + 256], numbers).astype("float64")
+        yield pd.DataFrame({"r": numbers.astype("int64"), "s": sums[0], "w": sums[1]})
+
     rows = rows.select(F.col(value).cast("double").alias("v"), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("h")).filter("v is not null")
-    many = rows.select("v", "h", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    u = (F.pmod(F.xxhash64("h", "r"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
-    weight = sum((F.when(u > t, 1).otherwise(0) for t in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
-    means = many.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m")).filter("m is not null")
+    means = rows.mapInPandas(run, "r long, s double, w double").groupBy("r").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m")).filter("m is not null")
     return means.agg(F.round(F.avg("m"), 6).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 

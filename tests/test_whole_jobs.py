@@ -1,7 +1,10 @@
 """Queries that once did a part of their job: what the part left out."""
 
+import numpy as np
+
 from annalist.operators import linking as L
-from annalist.plans import monitoring
+from annalist.operators import metrics as M
+from annalist.plans import monitoring, ranking
 from helpers import rows
 from oracle import database, same
 
@@ -39,3 +42,14 @@ def test_header_facts_on_whole_table(spark, data):
   SELECT doc_id, array_to_string(list_transform(regexp_extract_all(o, '{number}'), lambda r: {key}), ' ') AS numbers, CASE WHEN o <> '' THEN {day} END AS issued,
     CASE WHEN o <> '' AND regexp_matches(b, '(?:^|\n)[ \t]*\z') AND trim(after[1]) = '' THEN trim(t) END AS title, split_part(text, chr(10), 1) AS first_line FROM g""",
     )
+
+
+def test_bootstrap_draws_all_resamples(spark, data):
+    events = spark.read.parquet(data + "/events.parquet")
+    got = ranking.a22_bootstrap(spark, data).first()
+    assert got == M.bootstrap_mean(events, "value", resamples=2000).first()
+    assert got != M.bootstrap_mean(events, "value", resamples=200).first()
+    h = np.random.default_rng(1).integers(0, 2**63, 3000, dtype=np.uint64)
+    w = M._weights(h, np.arange(2000, dtype=np.uint64)).astype(float)
+    assert abs(w.mean() - 1) < 0.002 and abs(w.var() - 1) < 0.005
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.1 and abs(w.mean(axis=0).std() * 3000**0.5 - 1) < 0.1
