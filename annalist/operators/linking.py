@@ -44,6 +44,27 @@ def statements(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "place", "relation", F.explode(F.array_distinct(S.references(F.col("quote")))).alias("target"), "quote")
 
 
+def references_within(passages: DataFrame) -> DataFrame:
+    """source, target: a row for each time a passage names another numbered paragraph of its document that exists.
+
+    ``passages``: chunk_id, document_id, document_title, paragraph_ref, chunk_index, text. The first passage with a number answers to it.
+    An amendment's paragraph numbers are those of the document it amends, so amendments are left out.
+    """
+    first = passages.groupBy("document_id", F.col("paragraph_ref").alias("label")).agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("target"))
+    own = passages.filter(~F.coalesce(F.lower("document_title").rlike(r"\bamendment\b"), F.lit(False)))
+    return S.paragraph_references(own).join(first, ["document_id", "label"]).filter("target <> chunk_id").select(F.col("chunk_id").alias("source"), "target")
+
+
+def references_across(passages: DataFrame, register: DataFrame) -> DataFrame:
+    """source, target: a row for each time a passage prints a number of another registered document (the first by id that bears it).
+
+    ``register``: id, numbers (comparable keys).
+    """
+    bearer = register.select("id", F.explode("numbers").alias("number")).groupBy("number").agg(F.min("id").alias("target"))
+    named = passages.select("chunk_id", F.lower(F.trim("document_id")).alias("own"), F.explode(S.references(F.col("text"))).alias("number"))
+    return named.join(bearer, "number").filter(~F.col("target").eqNullSafe(F.col("own"))).select(F.col("chunk_id").alias("source"), "target")
+
+
 def proposals(stated: DataFrame, key: str, register: DataFrame) -> DataFrame:
     """Links to propose: statements whose target is the printed number of registered documents, with how many it fits.
 

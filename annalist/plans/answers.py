@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annalist.functions import text as T
 from annalist.operators import eligibility as E
 from annalist.operators import evidence as V
+from annalist.operators import linking as L
 from annalist.operators import metrics as M
 from annalist.operators import versions
 from annalist.plans import ranking, rules
@@ -92,14 +93,20 @@ def j14_paragraph_map(spark, d):
   SELECT 'DEFINES' AS type, count(*) AS n FROM d UNION ALL SELECT 'ISSUED_BY', count(*) FILTER (issuing_authority IS NOT NULL) FROM $REG UNION ALL SELECT 'PART_OF', count(DISTINCT chunk_id) FROM p
   UNION ALL SELECT relation, count(*) FROM $LINKS WHERE trust IN ('APPROVED', 'AUTO_TRUSTED') AND relation IN ('SUPERSEDES', 'AMENDS') GROUP BY relation""")
 def g1_graph_edges(spark, d):
-    """Edges of the provenance graph by type; candidates and unapproved links are none."""
+    """Edges of the provenance graph by type; candidates and rejected links are none. What APPLIES_TO and REQUIRES are is read by a hosted model."""
     p = table(spark, d, "chunks").filter("text is not null").select("chunk_id", "document_id", "text").distinct()
     one = lambda df, t: df.agg(F.lit(t).alias("type"), F.count(F.lit(1)).alias("n"))
+    r = register(spark, d)
     defines = one(p.select(F.explode(V.definitions(F.col("text")))), "DEFINES")
-    issued = one(register(spark, d).filter("issuing_authority is not null"), "ISSUED_BY")
+    issued = one(r.filter("issuing_authority is not null"), "ISSUED_BY")
     part = one(p.select("chunk_id").distinct(), "PART_OF")
-    linked = links(spark, d).filter("trust in ('APPROVED', 'AUTO_TRUSTED') and relation in ('SUPERSEDES', 'AMENDS')").groupBy(F.col("relation").alias("type")).agg(F.count(F.lit(1)).alias("n"))
-    return defines.unionByName(issued).unionByName(part).unionByName(linked)
+    numbers = F.array_compact(F.array_append(F.coalesce("circular_numbers", F.array().cast("array<string>")), F.col("document_identifier")))
+    passages, printed = ranking.passages(spark, d), r.select("id", F.transform(numbers, T.department_reference).alias("numbers"))
+    refers = one(L.references_within(passages).unionByName(L.references_across(passages, printed)), "REFERS_TO")
+    removed = table(spark, d, "removed_documents").select(F.lower(F.trim("document_id")).alias("id")).distinct()
+    withdraws = one(removed.join(r.select("id"), "id"), "WITHDRAWS")
+    linked = links(spark, d).filter("relation in ('SUPERSEDES', 'AMENDS') and coalesce(trust <> 'REJECTED', true)").groupBy(F.col("relation").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return defines.unionByName(issued).unionByName(part).unionByName(refers).unionByName(withdraws).unionByName(linked)
 
 
 @query("""WITH e AS (SELECT l.link_id, l.old_id, l.new_id, CASE WHEN l.old_id IS NULL OR l.new_id IS NULL THEN 'end is null' WHEN o.id IS NULL AND w.id IS NULL THEN 'both outside' WHEN o.id IS NULL THEN 'old outside' WHEN w.id IS NULL THEN 'new outside' WHEN l.old_id = l.new_id THEN 'self' ELSE 'admitted' END AS outcome

@@ -4,7 +4,7 @@ import numpy as np
 
 from annalist.operators import linking as L
 from annalist.operators import metrics as M
-from annalist.plans import monitoring, ranking
+from annalist.plans import answers, monitoring, ranking, rules
 from helpers import rows
 from oracle import database, same
 
@@ -53,3 +53,34 @@ def test_bootstrap_draws_all_resamples(spark, data):
     w = M._weights(h, np.arange(2000, dtype=np.uint64)).astype(float)
     assert abs(w.mean() - 1) < 0.002 and abs(w.var() - 1) < 0.005
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.1 and abs(w.mean(axis=0).std() * 3000**0.5 - 1) < 0.1
+
+
+def test_references_of_the_graph(spark):
+    cols = "chunk_id string, document_id string, document_title string, paragraph_ref string, chunk_index int, text string"
+    chunks = [
+        ("a1", "d1", "Directions", "1", 0, "See paragraphs 2 and 9, and paragraph 1. CCA/2020-21/11 and CCA/2020-2021/11 apply, CCA/1999-00/1 is unknown."),
+        ("a2", "d1", "Directions", "2", 1, "Paragraph 1 of the Master Directions is another's; CCA/2022-23/5 is this one."),
+        ("a3", "d1", "Directions", "2", 2, "paragraph 2 is the first with that number."),
+        ("b1", "d2", "Amendment Directions", "1", 0, "Paragraph 2 shall go."),
+        ("b2", "d2", "Amendment Directions", "2", 1, "None."),
+    ]
+    p = spark.createDataFrame(chunks, cols)
+    register = spark.createDataFrame([("d1", ["CCA/2022-23/5"]), ("d2", ["CCA/2020-21/11"]), ("d3", ["CCA/2020-21/11"])], "id string, numbers array<string>")
+    assert rows(L.references_within(p)) == [("a1", "a2"), ("a3", "a2")]
+    assert rows(L.references_across(p, register)) == [("a1", "d2"), ("a1", "d2")]
+
+
+def test_graph_edges_of_all_types(spark, data):
+    got = dict(rows(answers.g1_graph_edges(spark, data), "type", "n"))
+    db = database(data)
+    kept = f"SELECT relation, count(*) FROM {rules.LINKS} WHERE relation IN ('SUPERSEDES', 'AMENDS') AND trust IN ('APPROVED', 'AUTO_TRUSTED', 'REVIEW_REQUIRED') GROUP BY 1"
+    gone = f"SELECT 'WITHDRAWS', count(DISTINCT lower(trim(document_id))) FROM removed_documents WHERE lower(trim(document_id)) IN (SELECT id FROM {rules.REG})"
+    key = monitoring._KEY
+    refs = monitoring._REFS.replace("$T", "text")
+    across = f"""WITH n AS (SELECT {key.replace('$R', 'n')} AS k, min(id) AS target FROM (SELECT id, unnest(list_append(coalesce(circular_numbers, []), document_identifier)) AS n FROM {rules.REG}) WHERE n IS NOT NULL GROUP BY 1),
+      m AS (SELECT document_id, {key.replace('$R', 'r')} AS k FROM (SELECT document_id, unnest({refs}) AS r FROM (SELECT DISTINCT chunk_id, document_id, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)))
+      SELECT count(*) FROM m JOIN n USING (k) WHERE target IS DISTINCT FROM lower(trim(document_id))"""
+    assert {t: got[t] for t in ("AMENDS", "SUPERSEDES", "WITHDRAWS")} == dict(db.execute(kept).fetchall() + db.execute(gone).fetchall())
+    within = L.references_within(ranking.passages(spark, data)).count()
+    assert got["REFERS_TO"] == db.execute(across).fetchone()[0] + within
+    assert set(got) == {"DEFINES", "ISSUED_BY", "PART_OF", "REFERS_TO", "WITHDRAWS", "SUPERSEDES", "AMENDS"}
