@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +16,8 @@ from annalist.functions import text as T
 
 MEANS = r"[“\"]([^”\"]{2,80})[”\"]\s*(?:,\s*)?(?:means|shall mean|includes|shall include|refers to)\b"
 
+WORD = re.compile("[a-z0-9]{3,}")
+
 
 def merged(first: DataFrame, second: DataFrame, key: str, most: int) -> DataFrame:
     """first + second (query_id, key, place, value), each key once: at its first position, with its last value."""
@@ -39,17 +48,34 @@ def definitions(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(MEANS), F.lit(1)), T.canonical_name)
 
 
-def best_match(old: DataFrame, new: DataFrame, group: str, key: str, text: str, floor: float = 0.3) -> DataFrame:
-    """For each old paragraph the new one of its group with the most like words (cosine of their sets), from ``floor`` on; ties to the smaller key.
+def _matches(old: str, new: str, floor: float) -> Iterator[tuple[int, int | None, float]]:
+    words = lambda t: [(k, set(WORD.findall(x.lower()))) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+    sizes, places = {}, defaultdict(list)
+    for k, own in words(new):
+        sizes[k] = len(own)
+        for w in own:
+            places[w].append(k)
+    for k, own in words(old):
+        shared = Counter(chain.from_iterable(places[w] for w in own if w in places))
+        score, at = min(((-round(n / math.sqrt(len(own) * sizes[j]), 6), j) for j, n in shared.items()), default=(0.0, None))
+        yield k, at if -score >= floor else None, abs(score)
+
 
-    Joined on shared words, so paragraphs that share none never meet; words are counted within their group.
+def best_match(pairs: DataFrame, keys: list[str], old: str, new: str, floor: float = 0.3) -> DataFrame:
+    """keys, old_key, new_key, score: for each line of ``old`` the line of ``new`` with the most like words (cosine of their sets); ties to the first.
+
+    Below ``floor`` new_key is null, as for a paragraph that was deleted, and score the best there was (0 if no word is shared).
+    Lines are numbered from 0; blank ones are none. Both texts stand in one row, so no word is shuffled; lines that share no word never meet.
     """
-    words = lambda df, k, n: df.select(group, F.col(key).alias(k), F.size(T.terms(F.col(text))).alias(n), F.explode(T.terms(F.col(text))).alias("w"))
-    both = words(old, "old_key", "n_old").join(words(new, "new_key", "n_new"), [group, "w"]).groupBy(group, "old_key", "new_key").agg(F.count(F.lit(1)).alias("n"), F.first("n_old").alias("n_old"), F.first("n_new").alias("n_new"))
-    score = F.round(F.col("n") / F.sqrt(F.col("n_old") * F.col("n_new").cast("double")), 6)
-    best = both.withColumn("score", score).filter(F.col("score") >= floor)
-    w = Window.partitionBy(group, "old_key").orderBy(F.desc("score"), "new_key")
-    return best.withColumn("r", F.row_number().over(w)).filter("r = 1").select(group, "old_key", "new_key", "score")
+    names = [*keys, "old_key", "new_key", "score"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*key, *m) for *key, x, y in zip(*[b[k] for k in keys], b[old], b[new]) for m in _matches(x, y, floor)]
+            yield pd.DataFrame(rows, columns=names).astype({"new_key": "Int32"})
+
+    kinds = [f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys]
+    return pairs.select(*keys, old, new).mapInPandas(run, ", ".join([*kinds, "old_key int, new_key int, score double"]))
 
 
 def applied(end: Column, withdrawn_on: Column) -> Column:

@@ -82,11 +82,10 @@ def a18_micro_precision_recall(spark, d):
   s AS (SELECT a.canonical_url, a.line_no AS old_key, b.line_no AS new_key, round(count(*) / sqrt(any_value(a.n) * any_value(b.n)::DOUBLE), 6) AS score FROM o a JOIN o b ON a.old AND NOT b.old AND a.canonical_url = b.canonical_url AND a.w = b.w GROUP BY 1, 2, 3)
   SELECT canonical_url, CAST(old_key AS INT) AS old_key, CAST(new_key AS INT) AS new_key, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY canonical_url, old_key ORDER BY score DESC, new_key) = 1""")
 def j14_paragraph_map(spark, d):
-    """Each paragraph of a page's first version with the most similar one of its last."""
+    """Each paragraph of a version of a page with the most similar one of the next version, or none; step counts the page's versions."""
     w = Window.partitionBy("canonical_url").orderBy("recorded_at", "version_id")
-    v = log(spark, d).filter("txt is not null").withColumn("n", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("canonical_url"))).filter("m > 1 and (n = 1 or n = m)")
-    p = v.select("canonical_url", "n", F.posexplode(F.split("txt", "\n")).alias("line_no", "line"))
-    return V.best_match(p.filter("n = 1"), p.filter("n > 1"), "canonical_url", "line_no", "line")
+    v = log(spark, d).filter("txt is not null and canonical_url is not null").select("canonical_url", "txt", F.row_number().over(w).alias("step"), F.lead("txt").over(w).alias("next"))
+    return V.best_match(v.filter("next is not null"), ["canonical_url", "step"], "txt", "next")
 
 
 @query(r"""WITH p AS (SELECT DISTINCT chunk_id, document_id, text FROM chunks WHERE text IS NOT NULL), d AS (SELECT document_id, trim(regexp_replace(lower(unnest(regexp_extract_all(text, '[“"]([^”"]{2,80})[”"]\s*(?:,\s*)?(?:means|shall mean|includes|shall include|refers to)\b', 1))), '[^a-z0-9]+', ' ', 'g')) AS term FROM p)

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from annalist.operators import evidence as V
 from annalist.operators import linking as L
 from annalist.operators import metrics as M
 from annalist.plans import answers, monitoring, ranking, rules
@@ -84,3 +85,21 @@ def test_graph_edges_of_all_types(spark, data):
     within = L.references_within(ranking.passages(spark, data)).count()
     assert got["REFERS_TO"] == db.execute(across).fetchone()[0] + within
     assert set(got) == {"DEFINES", "ISSUED_BY", "PART_OF", "REFERS_TO", "WITHDRAWS", "SUPERSEDES", "AMENDS"}
+
+
+def test_deleted_paragraphs_stay(spark):
+    old, new = "every bank shall keep records\nalpha beta gamma delta bank\n1. a\n ", "every bank shall keep the records\n\nevery bank shall keep the records"
+    pairs = spark.createDataFrame([("u", old, new), ("v", "alpha beta", "")], "g string, a string, b string")
+    assert rows(V.best_match(pairs, ["g"], "a", "b")) == [("u", 0, 0, 0.912871), ("u", 1, None, 0.182574), ("u", 2, None, 0.0), ("v", 0, None, 0.0)]
+
+
+def test_paragraphs_of_every_version(spark, data):
+    same(
+        answers.j14_paragraph_map(spark, data),
+        database(data),
+        rf"""WITH v AS (SELECT canonical_url, txt, row_number() OVER (PARTITION BY canonical_url ORDER BY recorded_at, version_id) AS n, count(*) OVER (PARTITION BY canonical_url) AS m FROM {rules.LOG} WHERE txt IS NOT NULL AND canonical_url IS NOT NULL),
+  p AS (SELECT canonical_url, n, m, k, line, list_distinct(regexp_extract_all(lower(line), '[a-z0-9]{{3,}}')) AS w FROM (SELECT canonical_url, n, m, unnest(string_split(txt, chr(10))) AS line, unnest(range(len(string_split(txt, chr(10))))) AS k FROM v) WHERE trim(line, ' ') <> ''),
+  s AS (SELECT a.canonical_url, a.n, a.k, b.k AS new_key, round(len(list_intersect(a.w, b.w)) / sqrt(len(a.w) * len(b.w)::DOUBLE), 6) AS score FROM p a JOIN p b ON a.canonical_url = b.canonical_url AND b.n = a.n + 1 WHERE len(list_intersect(a.w, b.w)) > 0),
+  t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY canonical_url, n, k ORDER BY score DESC, new_key) = 1)
+  SELECT p.canonical_url, CAST(p.n AS INT) AS step, CAST(p.k AS INT) AS old_key, CAST(CASE WHEN score >= 0.3 THEN new_key END AS INT) AS new_key, coalesce(score, 0.0) AS score FROM p LEFT JOIN t USING (canonical_url, n, k) WHERE p.n < p.m""",
+    )
