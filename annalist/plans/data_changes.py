@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.operators.asof import asof_answers
-from annalist.operators.history import History, observations
+from annalist.operators.history import History, leaves_for, observations
 from annalist.operators.orphans import orphan_references, orphan_report, plain_id, references
+from annalist.operators.skew import hot_keys
 from annalist.operators.snapshots import snapshot_changes, with_old_values
-from annalist.sources.shared import table
+from annalist.sources.shared import scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,25 +49,34 @@ def p2_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
-def _history(spark: SparkSession, d: str) -> tuple[DataFrame, History]:
-    """Two snapshots of the log: what was recorded up to 90 days before its last entry, then all of it."""
+#: Snapshots of the log that the history is built from, at equal shares of its entries.
+SNAPSHOTS = 10
+
+
+def _history(spark: SparkSession, d: str) -> History:
+    """The log as it was known at ten moments, the last of which is its end."""
     log = table(spark, d, "doc_versions")
-    state, total = F.upper(F.trim("lifecycle")), log.count()
-    last = log.agg(F.max("recorded_at")).first()[0]
-    h = History()
-    if last is not None:
-        h.apply(observations(log, "canonical_url", state, "normalized_text_hash", F.lit(last) - F.expr("interval 90 days")), total)
-    return h.apply(observations(log, "canonical_url", state, "normalized_text_hash"), total, keep=False), h
+    state = F.upper(F.trim("lifecycle"))
+    facts = log.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("canonical_url").alias("keys"), F.percentile_approx("recorded_at", [i / SNAPSHOTS for i in range(1, SNAPSHOTS)]).alias("at")).first()
+    at = sorted(set(facts["at"] or []))
+    place = sum((F.when(F.coalesce(F.col("recorded_at") > t, F.lit(True)), 1).otherwise(0) for t in at), F.lit(0))
+    path = scratch(spark, "log")
+    log.select("canonical_url", "valid_from", "recorded_at", "lifecycle", "normalized_text_hash", place.alias("part")).write.partitionBy("part").parquet(path)
+    slim, h = spark.read.parquet(path), History(spark, leaves_for(facts["keys"]))
+    hot = hot_keys(slim.select(F.col("canonical_url").alias("key")), ["key"], facts["n"])
+    for n in range(len(at) + 1):
+        h.apply(observations(slim.filter(F.col("part") <= n), "canonical_url", state, "normalized_text_hash"), hot)
+    return h
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     seconds = lambda c: F.unix_seconds(F.col(c))
-    return _history(spark, d)[0].select(F.col("key").alias("canonical_url"), seconds("valid_from").alias("valid_from_s"), F.coalesce(seconds("valid_to"), F.lit(-1)).alias("valid_to_s"), F.col("state").alias("lifecycle"))
+    return _history(spark, d).table().select(F.col("key").alias("canonical_url"), seconds("valid_from").alias("valid_from_s"), F.coalesce(seconds("valid_to"), F.lit(-1)).alias("valid_to_s"), F.col("state").alias("lifecycle"))
 
 
 def p3_states_by_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Per lifecycle how many states there are, how many are open, and for how many whole days the others held in all."""
-    t = _history(spark, d)[0]
+    t = _history(spark, d).table()
     days = F.floor((F.unix_seconds("valid_to") - F.unix_seconds("valid_from")) / 86400)
     return t.groupBy(F.col("state").alias("lifecycle")).agg(F.count(F.lit(1)).alias("n_states"), F.count_if(F.col("valid_to").isNull()).alias("n_open"), F.coalesce(F.sum(days), F.lit(0)).alias("days_held"))
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,24 +16,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (single machine, tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, but only if the session runs on this machine alone."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="annalist-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str = "part") -> DataFrame:
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, below one of this application that goes when the session's machine does."""
+    root = f"{shared_dir(spark)}/annalist-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{root}/{what}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, what: str = "part", path: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/annalist-{what}-{uuid.uuid4().hex}"
+    path = path or scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, path: str, keys: list[str], n: int) -> DataFrame:
+    """Write a table in n buckets by ``keys``, ordered by them in each, so that a join on all the keys needn't move it."""
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(f"annalist_{uuid.uuid4().hex}")
+    return open_bucketed(df.sparkSession, path, df.schema, keys, n)
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], n: int) -> DataFrame:
+    """A table that ``bucketed`` wrote, also in another session."""
+    name, by = f"annalist_{uuid.uuid4().hex}", ", ".join(keys)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def bounded(df: DataFrame, most: int) -> DataFrame:
     """Broadcast a side after checking that it has at most ``most`` rows; else leave the join to the optimizer.
 

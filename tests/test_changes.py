@@ -83,6 +83,20 @@ def test_snapshots_against_brute_force(spark):
     assert changes(spark, data) == want and want
 
 
+def test_index_is_kept_and_does_not_move(spark, tmp_path):
+    """Another session goes on with the index; in its plan only the new snapshot is shuffled."""
+    u, at = "https://a.example/p", str(tmp_path / "index")
+    days = [[(DAY[0], "s", u + "1", "t1", "m"), (DAY[0], "s", u + "2", "t2", "m")], [(DAY[1], "s", u + "1", "t1x", "m")], [(DAY[2], "s", u + "2", None, "m"), (DAY[2], "s", u + "1", None, "m")]]
+    first = snapshots.Index(spark, 3, at)
+    first.advance(snapshots.pages_of(snap(spark, days[0])))
+    first.advance(snapshots.pages_of(snap(spark, days[1])))
+    again = snapshots.Index.open(spark, at, 2, 3)
+    assert rows(again.advance(snapshots.pages_of(snap(spark, days[2])))) == [("s", "a.example/p2", 20108, 20101, "added")]
+    new = snapshots.pages_of(snap(spark, days[2])).repartition(3, *snapshots.KEYS).groupBy(*snapshots.KEYS).agg(F.max("text_hash").alias("t"))
+    plan = again.pages.join(new.hint("merge"), snapshots.KEYS, "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
 def test_orphans_kinds_and_hot_keys(spark, monkeypatch):
     t = lambda y: dt.datetime(y, 3, 1)
     links = spark.createDataFrame([("l1", " DOC_A ", "doc_b", t(2020)), ("l2", "doc_a", None, None), ("l3", "gone", "gone2", t(2022)), ("l4", "nowhere", "doc_b", t(2023)), ("l1", " DOC_A ", "doc_b", t(2020))] + [(f"h{i}", "hot", "doc_b", t(2023)) for i in range(50)], "link_id string, old_document_id string, new_document_id string, created_at timestamp")
@@ -132,30 +146,40 @@ def _brute(log, until=None):
 
 
 @pytest.mark.parametrize("least", [100_000, 20])
-def test_history_by_merkle_comparison(spark, least, monkeypatch):
-    """With and without a hot key; the second snapshot touches only the leaves that changed."""
+def test_history_by_merkle_comparison(spark, least, tmp_path):
+    """With and without a hot key; later snapshots append only what changed, and another session goes on from the folder."""
     log = list({(r[0], r[1]): r for r in _log(spark, 150)}.values())
     df = spark.createDataFrame(log, LOG)
     state = F.upper(F.trim("lifecycle"))
-    monkeypatch.setattr(history, "hot_keys", lambda d, k, t, _=0: skew.hot_keys(d, k, t, least, 512))
-    until = dt.datetime(2024, 3, 1)
-    h = history.History()
-    h.apply(history.observations(df, "key", state, "text", F.lit(until)), 200)
-    got = rows(h.table, "key", "valid_from", "valid_to", "state", "content")
-    assert got == _brute(log, until)
-    whole = h.apply(history.observations(df, "key", state, "text"), 200)
-    assert rows(whole, "key", "valid_from", "valid_to", "state", "content") == _brute(log)
-    again = history.History.apply(h, history.observations(df, "key", state, "text"), 200)
-    assert h.changed == [] and rows(again, "key", "valid_from", "valid_to", "state", "content") == _brute(log)
-    empty = history.History().apply(history.observations(df.limit(0), "key", state, "text"), 0)
-    assert empty.count() == 0
-
-
-def test_tree_descends_only_where_digests_differ():
-    a, b = {i: (i, i, 1) for i in range(0, 65_536, 7)}, {i: (i, i, 1) for i in range(0, 65_536, 7)}
-    b[49], b[11] = (0, 0, 2), (5, 5, 1)
-    assert sorted(history.Tree(a).differing(history.Tree(b))) == [11, 49]
-    assert history.Tree(a).differing(history.Tree(dict(a))) == []
+    hot = skew.hot_keys(df, ["key"], 200, least, 512)
+    assert (hot is None) == (least == 100_000)
+    names = ("key", "valid_from", "valid_to", "state", "content")
+    at = str(tmp_path / "h")
+    for until in (dt.datetime(2024, 2, 1), dt.datetime(2024, 3, 1), None):
+        h = history.History(spark, 64, at)  # opened anew
+        h.apply(history.observations(df, "key", state, "text", None if until is None else F.lit(until)), hot)
+        assert rows(h.table(), *names) == _brute(log, until)
+    assert h.n == 3
+    assert h.apply(history.observations(df, "key", state, "text"), hot).count() == 0
+    assert spark.read.parquet(f"{at}/delta/step=4").count() == 0 and rows(h.table(), *names) == _brute(log)
+    h.apply(history.observations(df, "key", state, "text", F.lit(dt.datetime(2024, 2, 1))), hot)  # back: states go again
+    assert rows(h.table(), *names) == _brute(log, dt.datetime(2024, 2, 1))
+    empty = history.History(spark, 64)
+    empty.apply(history.observations(df.limit(0), "key", state, "text"), None)
+    assert empty.table().count() == 0
+
+
+def test_tree_descends_only_where_digests_differ(spark):
+    """A change of one key shows in its leaf alone."""
+    t = dt.datetime(2024, 1, 1)
+    log = [(f"k{i}", t, t, "ACTIVE", "a", 0, "z") for i in range(300)]
+    h = history.History(spark, 8192)
+    assert h.shifts == [12, 6, 0]
+    for change in (None, 7):
+        df = spark.createDataFrame([(*r[:4], "b", *r[5:]) if i == change else r for i, r in enumerate(log)], LOG)
+        leaves = h.apply(history.observations(df, "key", F.col("lifecycle"), "text"), None)
+    assert leaves.count() == 1 and spark.read.parquet(f"{h.folder}/delta/step=2").count() == 1
+    assert history.leaves_for(0) == 64 and history.leaves_for(40_000) == 16_384
 
 
 VER = "entity_a string, entity_b string, version_id string, rank int, known_from long, known_to long, holds_from int, holds_to int, day string"
