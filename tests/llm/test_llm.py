@@ -133,23 +133,89 @@ def test_leaks_against_all_alignments(spark):
             for part in (q, p):
                 w = leakage.words(part)
                 double = {a + b: (a, b) for a, b in zip(w, w[1:])}
-                if d is not None and t and leakage.aligned(w, leakage.respaced(leakage.words(t), set(w), double)):
+                if d is not None and t and anywhere(w, leakage.respaced(leakage.words(t), set(w), double)):
                     want.add((d, i))
     assert want <= got | {x for x in want if x[0] == 1003} and got <= want and len(want) > 100
-    small = {(x.doc_id, x.item_id) for x in leakage.find_leaks(df, it, ["question", "passage"], block=7).collect()}
+    assert got == want and len(want) > 150
+    small = {(x.doc_id, x.item_id) for x in leakage.find_leaks(df, it, ["question", "passage"], block_letters=900).collect()}
     assert small == got
     assert leakage.find_leaks(df, it.limit(0), ["question"]).count() == 0 and leakage.find_leaks(df.limit(0), it, ["question"]).count() == 0
 
 
+def anywhere(item, doc):
+    """The alignment without a band."""
+    return leakage.aligned(item, doc, 0, len(item), -len(item), len(doc))
+
+
 def test_alignment_counts_words():
     item = [f"w{i}" for i in range(40)]
-    assert leakage.aligned(item, item[5:20]) and not leakage.aligned(item, item[5:16])
+    assert anywhere(item, item[5:20]) and not anywhere(item, item[5:16])
     bad = item[5:20]
     bad[3] = bad[8] = bad[12] = "zz"
-    assert leakage.aligned(item, bad)
+    assert anywhere(item, bad)
     bad[10] = "zz"
-    assert not leakage.aligned(item, bad)
-    assert not leakage.aligned(item, list(reversed(item)))
+    assert not anywhere(item, bad)
+    assert not anywhere(item, list(reversed(item)))
+    assert leakage.aligned(item, ["x"] * 7 + item[5:20], 0, 40, 2, 2) and not leakage.aligned(item, ["x"] * 30 + item[5:20], 0, 40, 2, 2)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=4, max_size=14), st.lists(st.sampled_from("abcd"), max_size=20))
+def test_alignment_against_plain_table(item, doc):
+    """n from 4 to 7 words with at most n / 5 edits."""
+
+    def distance(w):
+        row = [0] * (len(doc) + 1)
+        for i, x in enumerate(w):
+            new = [i + 1]
+            for j, y in enumerate(doc):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    want = any(distance(item[s : s + n]) <= n // 5 for n in range(4, 8) for s in range(len(item) - n + 1))
+    assert leakage.aligned(item, doc, 0, len(item), -len(item), len(doc), 4) == want
+
+
+SCRIPTS = {
+    "numbers": [str(n) for n in range(1, 400)],
+    "digits": list("0123456789"),
+    "cyrillic": ["б" + "".join(chr(0x430 + (i * k) % 32) for k in range(2, 2 + i % 7)) for i in range(1, 120)],
+    "greek": ["".join(chr(0x3B1 + (i * k) % 24) for k in range(1, 3 + i % 5)) for i in range(1, 120)],
+    "cjk": ["".join(chr(0x4E00 + (i * k * 37) % 900) for k in range(1, 3)) for i in range(1, 120)],
+    "arabic": ["".join(chr(0x628 + (i * k) % 18) for k in range(1, 4 + i % 3)) for i in range(1, 120)],
+    "deseret": ["".join(chr(0x10428 + (i * k) % 40) for k in range(1, 4)) for i in range(1, 120)],
+    "short": list("abcdefghij") + ["of", "to", "is", "12"],
+    "mixed": ["rule7b", "5th", "x1", "art.", "12", "7", "§", "étude", "straße", "co-lending", "№", "2023-24", "rs", "1,000"],
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_no_leak_is_lost_in_any_script(script):
+    """Exact and edited copies, against alignments of every pair."""
+    r, v = random.Random(script), SCRIPTS[script]
+    items = [(i, " ".join(r.choices(v, k=r.choice([15, 18, 40])))) for i in range(12)]
+    other = ["zero", "one", "lorem", "ipsum", *r.choices(v, k=3)]
+    docs = []
+    for d in range(120):
+        w = items[d % 12][1].split()
+        at = r.randrange(max(1, len(w) - 20))
+        cut = w[at : at + r.choice([13, 15, 20, 30])]
+        if d % 3:
+            for k in range(2, len(cut), 6 if d % 3 == 1 else 5):
+                cut[k] = r.choice(["qq", "", cut[k] + " added"])
+        docs.append(" ".join(r.choices(other, k=30) + cut + r.choices(other, k=30)).upper() if d % 2 else " ".join(r.choices(other, k=9) + cut))
+    probe = leakage.Probe(items)
+    probe.ready()
+    got = {(d, probe.items[p]) for d, p in probe.pairs(docs)}
+    want = set()
+    for d, t in enumerate(docs):
+        for i, q in items:
+            w = leakage.words(q)
+            if len(w) >= 15 and anywhere(w, leakage.respaced(leakage.words(t), probe.vocabulary, probe.double)):
+                want.add((d, i))
+    assert got == want
+    assert len(want) > 20
 
 
 # mixing
