@@ -2,7 +2,8 @@
 
 Numbers are validated and replaced by format-preserving pseudonyms: a keyed Feistel network permutes the digits (and letters) within
 their format, so equal values, however they are written, get equal pseudonyms in all documents, and who holds the key can go back.
-E-mail addresses, street addresses and names get a keyed digest of their normal form. Everything else in the text stays as it is.
+Dates go the same way where the caller asks for them. E-mail addresses, street addresses and names get a keyed digest of their normal
+form. Which words are names is learned from the documents (``names``). Everything else in the text stays as it is.
 
 Defined results: null and empty texts hold nothing; positions count code points, the end is excluded; spans don't overlap (where kinds compete
 an e-mail address wins over an address, then a phone number, an id number, a name); texts are read whole; equal rows give equal rows.
@@ -10,6 +11,7 @@ an e-mail address wins over an address, then a phone number, an id number, a nam
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
 from collections.abc import Iterator
@@ -19,18 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words of the data's country. All are parameters of Finder.
-GIVEN = (
-    "anika asha bruno clara dev elena farah felix greta hugo ines ivo john juno karim kavya lars leila maria mateo mina nadia noel olga omar pavel petra priya rafael ruth sana sonja tilda tomas uma viktor wanda xenia yusuf zoe"
-).split()
-STEMS = "aldv bramv drinv fesk garv hask jasq kelv lumv mavr norq ostr pellu quev sedq tellv thurv varnu vorq wixt".split()
-ENDINGS = "ani asek brook bury dale eska field haven iyer ling mond oult ova ridge sen stad umar wick".split()
-TITLES = "mr mrs ms dr prof herr frau madame monsieur mme señora señor don doña".split()
+from annalist.llm.names import FIRMS, SP, TITLES, NameModel, fit_names
+
+# Words of street addresses.
 STREETS = "road street lane close avenue parade row rise walk way drive square court terrace place crescent boulevard hill".split()
-FIRMS = "mills committee leasing finance bank ltd limited inc llp plc group partners fund trust holdings foundation street road lane".split()
 
 SPACES = " \n\t\u00a0\u202f"
-SP = r"[ \u00a0\u202f]"
 AT = r"(?:@|\s?[\[({<]\s?at\s?[\])}>]\s?|\s[aA][tT]\s(?=\S+\s?(?:[\[({]\s?)?dot\b))"
 DOT = r"(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?|\sdot\s)"
 EMAIL = re.compile(rf"(?i)(?<![\w.+-])[^\W_][\w.+%'-]*{AT}[^\W_](?:[\w-]*[^\W_])?(?:{DOT}[^\W_](?:[\w-]*[^\W_])?)+")
@@ -54,26 +50,43 @@ POSTCODE = re.compile(r"\d{5}(?<![\d.,/-].....)(?![\d/]|[-.,]\d)")
 PLACES = re.compile("box|flat|plot|house|" + "|".join(STREETS))
 REACH = 140
 KINDS = ("email", "address", "phone", "id_number", "name")
+#: Dates are found only if asked for.
+EVERY = (*KINDS, "date")
+DATE = re.compile(r"(?<![\w./-])(?:(\d{4})-(\d{2})-(\d{2})|(\d{2})([./-])(\d{2})\5(\d{4}))(?![\w/-])")
+NAME = r"(?:[^\W\d_]['’])?[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*"
+FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049
+
+
+def _day(m: re.Match) -> int | None:
+    """Days since FIRST_DAY of a date as it is written; None if there is no such day, or it lies outside."""
+    y, mo, d = (m[1], m[2], m[3]) if m[1] else (m[7], m[6], m[4])
+    try:
+        n = (datetime.date(int(y), int(mo), int(d)) - FIRST_DAY).days
+    except ValueError:
+        return None
+    return n if 0 <= n < DAYS else None
 
 
 class Finder:
-    """Finds spans. ``given``, ``stems`` x ``endings`` (surnames by rule), ``titles``: the words that names are known by."""
+    """Finds spans of ``kinds``. ``names`` says which words are names, ``titles`` and ``firms`` what stands before and behind them."""
 
-    def __init__(self, given=tuple(GIVEN), stems=tuple(STEMS), endings=tuple(ENDINGS), titles=tuple(TITLES), firms=tuple(FIRMS)) -> None:
+    def __init__(self, names: NameModel | None = None, titles=tuple(TITLES), firms=tuple(FIRMS), kinds=KINDS) -> None:
         import ahocorasick
 
+        self.model, self.kinds = names or NameModel(), tuple(kinds)
         self.words = ahocorasick.Automaton()
-        for s in stems:
-            for e in endings:
-                self.words.add_word(s + e, ("surname", len(s + e)))
+        for g in self.model.given:
+            self.words.add_word(g, ("given", len(g)))
         for t in titles:
             self.words.add_word(t + " ", ("title", len(t) + 1))
             self.words.add_word(t + ". ", ("title", len(t) + 2))
         self.words.make_automaton()
-        first = rf"(?:{'|'.join(sorted(given, key=len, reverse=True))})"
-        self.before = re.compile(rf"(?i:(?<![\w@.+-]){first}){SP}(?:[A-Za-z]\.{SP})?$|(?<![\w@.+-])[A-Z]\.{SP}?(?:[A-Z]\.{SP}?)?$|(?<![\w@.+-])[a-z]\.{SP}(?=$)")
-        self.after = re.compile(rf",{SP}(?:(?i:{first})(?![\w-])(?:{SP}[A-Z]\.(?!\w))?|[A-Z]\.(?!\w))")
-        self.more = re.compile(r"-[^\W\d_]+(?![\w@])")
+        self.right = re.compile(rf"{SP}(?:([A-Za-z]\.){SP})?({NAME})(?!\w)")
+        self.second = re.compile(rf"(?:{SP}[A-Z]\.(?!\w))?")
+        self.left = re.compile(rf"(?<![\w@.+-])({NAME}),{SP}$")
+        self.dotted = re.compile(r"[A-Za-z]\.(?!\w*@)")
+        self.initials = re.compile(rf"(?:{SP}?[A-Z]\.)?({SP}?)({NAME})(?![\w@])")
+        self.before = re.compile(rf"(?<![\w@.+-])({NAME}),{SP}$")
         self.firm = re.compile(rf"(?i){SP}(?:{'|'.join(firms)})\b")
         self.titled = re.compile(rf"(?:[A-Z][a-zà-ÿ]+|[A-Z]\.){SP}(?:[A-Z]\.{SP})?[A-Z][a-zà-ÿ]{{2,}}(?:-[A-Z][a-zà-ÿ]+)?(?!\w)")
 
@@ -112,39 +125,52 @@ class Finder:
         return out
 
     def names(self, t: str, low: str) -> list[tuple[int, int]]:
-        out, done = [], 0
+        out = []
         for end, (kind, n) in self.words.iter(low):
             a, b = end + 1 - n, end + 1
-            if a < done or (a and (low[a - 1].isalnum() or low[a - 1] in "_@+")):
+            if a and (low[a - 1].isalnum() or low[a - 1] in "_@+.-"):
                 continue
             if kind == "title":
                 m = self.titled.match(t, b)
                 if m and not self.firm.match(t, m.end()):
                     out.append((b, m.end()))
                 continue
-            if b < len(t) and (low[b].isalnum() or low[b] in "_@"):
+            if b < len(t) and (low[b].isalnum() or low[b] in "_@-" or low[b] == "." and low[b + 1 : b + 2].isalnum()):
                 continue
-            if (m := self.more.match(t, b)) is not None:
-                b = m.end()
-            m = self.before.search(t, max(0, a - 24), a)
-            if m and not self.firm.match(t, b):
-                out.append((m.start(), b))
-                done = b
-            elif (m := self.after.match(t, b)) is not None and not (a and t[a - 1] in "-."):
+            if (m := self.right.match(t, b)) is not None and not (m.end() < len(t) and t[m.end()] == "@"):
+                shaped = t[a].isupper() and (m[2][1:].islower() or not m[2].isupper() or t[a:b].isupper())
+                if self.model.surname(m[2], shaped) and not self.firm.match(t, m.end()):
+                    out.append((a, m.end()))
+            if t[max(0, a - 2) : a - 1] == "," and (m := self.left.search(t, max(0, a - 48), a)) is not None and self.model.surname(m[1], False):
+                out.append((m.start(), self.second.match(t, b).end()))
+        for d in self.dotted.finditer(t):
+            a, b = d.span()
+            if a and (t[a - 1].isalnum() or t[a - 1] in "_@.+-"):
+                continue
+            m = self.initials.match(t, b)
+            if m and (t[a].isupper() or m[1]) and m[2][0].isupper() == t[a].isupper() and self.model.surname(m[2], False) and not self.firm.match(t, m.end()):
                 out.append((a, m.end()))
-                done = m.end()
-            else:
-                done = b
-        return out
+            elif t[max(0, a - 2) : a - 1] == "," and t[a].isupper() and not t[b : b + 1].isalnum() and (m := self.before.search(t, max(0, a - 48), a)) is not None and self.model.surname(m[1], False):
+                out.append((m.start(), b))
+        out.sort(key=lambda s: (s[0] - s[1], s[0]))  # longer ones first
+        kept: list[tuple[int, int]] = []
+        for x in out:
+            if all(x[1] <= k[0] or x[0] >= k[1] for k in kept):
+                kept.append(x)
+        return sorted(kept)
+
+    def dates(self, t: str, low: str) -> list[tuple[int, int]]:
+        return [m.span() for m in DATE.finditer(t) if _day(m) is not None]
 
     def spans(self, t: str) -> list[tuple[str, int, int]]:
         low = t.lower()
         if len(low) != len(t):  # positions must agree
             low = "".join(x if len(x := c.lower()) == 1 else c for c in t)
-        every = [("email", *s) for s in self.emails(t, low)] + [("address", *s) for s in self.addresses(t, low)] + self.numbers(t, low) + [("name", *s) for s in self.names(t, low)]
+        finds = {"email": self.emails, "address": self.addresses, "name": self.names, "date": self.dates}
+        every = [(k, *x) for k, find in finds.items() if k in self.kinds for x in find(t, low)] + [x for x in self.numbers(t, low) if x[0] in self.kinds]
         if len(every) < 2:
             return every
-        every.sort(key=lambda s: (KINDS.index(s[0]), s[1], -s[2]))
+        every.sort(key=lambda s: (EVERY.index(s[0]), s[1], -s[2]))
         kept: list[tuple[str, int, int]] = []
         for s in every:
             if all(s[2] <= k[1] or s[1] >= k[2] for k in kept):
@@ -152,11 +178,6 @@ class Finder:
         return sorted(kept, key=lambda s: s[1])
 
 
-@lru_cache(maxsize=1)
-def _finder() -> Finder:
-    return Finder()
-
-
 def _round(key: bytes, n: int, value: int, size: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{n}:{size}:{value}".encode(), key=key, digest_size=8).digest(), "big")
 
@@ -179,27 +200,36 @@ def permute(key: bytes, value: int, size: int, back: bool = False, rounds: int =
             return value
 
 
+def _laid(text: str, at: list[int], new: str) -> str:
+    """``text`` with other characters at the given places; the case of letters stays."""
+    out = list(text)
+    for i, c in zip(at, new):
+        out[i] = c.lower() if text[i].islower() else c
+    return "".join(out)
+
+
 def pseudonym(key: bytes, kind: str, text: str, back: bool = False) -> str:
-    """Within the same format: phone and citizen numbers, passports and tax numbers by their digits and letters, dates as yyyy-mm-dd."""
-    chars = re.sub(r"[^0-9A-Za-z]", "", text).upper()
-    if kind == "phone":  # the same number with and without the country's prefix
-        chars = chars[-9:]
-        return "0" + f"{permute(key + b'p', int(chars), 10**9, back):09d}"
-    if kind == "date":
-        import datetime
+    """The permuted value in the layout of ``text``: prefix, separators and brackets stay, however the number is written.
 
-        first = datetime.date(1900, 1, 1)
-        day = (datetime.date.fromisoformat(text) - first).days
-        return (first + datetime.timedelta(permute(key + b"d", day, 73_049, back))).isoformat()
+    Phone numbers: the last nine digits. Citizen numbers: ten digits, not beginning with 0. Tax and passport numbers: letters and digits. Dates: days
+    of 1900 to 2099. Only what parses as such a number or day comes here.
+    """
+    if kind == "date":
+        m = DATE.fullmatch(text)
+        day = FIRST_DAY + datetime.timedelta(permute(key + b"d", _day(m), DAYS, back))
+        return day.isoformat() if m[1] else day.strftime(f"%d{m[5]}%m{m[5]}%Y")
+    at = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
+    chars = "".join(text[i] for i in at).upper()
+    if kind == "phone":
+        return _laid(text, at[-9:], f"{permute(key + b'p', int(chars[-9:]), 10**9, back):09d}")
     if chars.isdigit():
-        return str(permute(key + b"c", int(chars) - 10**9, 9 * 10**9, back) + 10**9)
+        return _laid(text, at, str(permute(key + b"c", int(chars) - 10**9, 9 * 10**9, back) + 10**9))
     if chars.startswith("TX"):
         v = (ord(chars[2]) - 65) * 26 + ord(chars[8]) - 65
-        v = permute(key + b"t", v * 10**5 + int(chars[3:8]), 676 * 10**5, back)
-        letters, digits = divmod(v, 10**5)
-        return f"TX{chr(65 + letters // 26)}{digits:05d}{chr(65 + letters % 26)}"
+        letters, digits = divmod(permute(key + b"t", v * 10**5 + int(chars[3:8]), 676 * 10**5, back), 10**5)
+        return _laid(text, at, f"TX{chr(65 + letters // 26)}{digits:05d}{chr(65 + letters % 26)}")
     v = permute(key + b"n", "KNS".index(chars[0]) * 10**7 + int(chars[1:]), 3 * 10**7, back)
-    return f"{'KNS'[v // 10**7]}{v % 10**7:07d}"
+    return _laid(text, at, f"{'KNS'[v // 10**7]}{v % 10**7:07d}")
 
 
 def _normal(kind: str, text: str) -> str:
@@ -214,41 +244,52 @@ def _normal(kind: str, text: str) -> str:
 
 
 def placeholder(key: bytes, kind: str, text: str) -> str:
-    if kind in ("phone", "id_number"):
+    """[KIND pseudonym]: numbers and dates permuted within their format, the rest as a keyed digest of 128 bits of its normal form."""
+    if kind in ("phone", "id_number", "date"):
         return f"[{kind.upper()} {pseudonym(key, kind, text)}]"
-    return f"[{kind.upper()} {hashlib.blake2b(_normal(kind, text).encode(), key=key, digest_size=5).hexdigest()}]"
+    return f"[{kind.upper()} {hashlib.blake2b(_normal(kind, text).encode(), key=key, digest_size=16).hexdigest()}]"
 
 
-def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    spans = _finder().spans
-    for b in batches:
-        rows = [(d, *s) for d, t in zip(b["doc_id"].tolist(), b["text"]) for s in spans(t)]
-        yield pd.DataFrame(rows, columns=["doc_id", "pii_kind", "start_pos", "end_pos"])
+SPANS = "array<struct<pii_kind:string,start_pos:int,end_pos:int,placeholder:string>>"
 
 
-def _redacted(batches: Iterator[pd.DataFrame], key: bytes) -> Iterator[pd.DataFrame]:
-    spans = _finder().spans
+def _annotated(batches: Iterator[pd.DataFrame], key: bytes, sent, with_text: bool) -> Iterator[pd.DataFrame]:
+    finder, holder = Finder(**sent.value), lru_cache(maxsize=100_000)(placeholder)
     for b in batches:
-        texts, counts = [], []
+        every, texts = [], []
         for t in b["text"]:
-            found = spans(t) if t else []
-            parts, at = [], 0
-            for kind, lo, hi in found:
-                parts += [t[at:lo], placeholder(key, kind, t[lo:hi])]
-                at = hi
-            texts.append("".join([*parts, t[at:]]) if found else t)
-            counts.append(len(found))
-        yield pd.DataFrame({"doc_id": b["doc_id"], "redacted": texts, "n_found": counts})
-
-
-def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, pii_kind, start_pos, end_pos."""
-    return docs.select("doc_id", "text").filter("text is not null and doc_id is not null").mapInPandas(_found, "doc_id long, pii_kind string, start_pos int, end_pos int")
-
-
-def redact(docs: DataFrame, key: bytes) -> DataFrame:
-    """Every document with its text redacted (doc_id, redacted, n_found); no shuffle."""
-    return docs.select("doc_id", "text").mapInPandas(lambda it: _redacted(it, key), "doc_id long, redacted string, n_found int")
+            found = [(k, lo, hi, holder(key, k, t[lo:hi])) for k, lo, hi in finder.spans(t)] if t else []
+            every.append(found)
+            if with_text:
+                parts, at = [], 0
+                for _, lo, hi, new in found:
+                    parts += [t[at:lo], new]
+                    at = hi
+                texts.append("".join([*parts, t[at:]]) if found else t)
+        out = {"doc_id": b["doc_id"], "spans": [[dict(zip(("pii_kind", "start_pos", "end_pos", "placeholder"), x)) for x in e] for e in every]}
+        yield pd.DataFrame(out | ({"redacted": texts} if with_text else {}))
+
+
+def annotate(docs: DataFrame, key: bytes, finder: dict | None = None, with_text: bool = False) -> DataFrame:
+    """doc_id, spans (kind, start, end and placeholder of each), and redacted if ``with_text``; no shuffle.
+
+    ``finder``: arguments of Finder; by default its names are fitted on a sample of the documents.
+    """
+    finder = {"names": fit_names(docs)} if finder is None else finder
+    sent = docs.sparkSession.sparkContext.broadcast(finder)
+    schema = f"doc_id long, spans {SPANS}" + (", redacted string" if with_text else "")
+    return docs.select("doc_id", "text").mapInPandas(lambda it: _annotated(it, key, sent, with_text), schema)
+
+
+def find_pii(docs: DataFrame, key: bytes, finder: dict | None = None) -> DataFrame:
+    """doc_id, pii_kind, start_pos, end_pos, placeholder."""
+    rows = annotate(docs.filter("text is not null and doc_id is not null"), key, finder)
+    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
+def redact(docs: DataFrame, key: bytes, finder: dict | None = None) -> DataFrame:
+    """Every document with its text redacted (doc_id, redacted, n_found)."""
+    return annotate(docs, key, finder, True).select("doc_id", "redacted", F.size("spans").alias("n_found"))
 
 
 def pii_counts(found: DataFrame) -> DataFrame:

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import secrets
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm import boilerplate, chunking, leakage, mixing, pii
 from annalist.sources.shared import table
 
-#: Key of the pseudonyms in the queries. A deployment passes its own secret.
-KEY = b"annalist-demonstration-key"
+
+
+@lru_cache(maxsize=1)
+def _random_key() -> bytes:
+    return secrets.token_bytes(32)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The secret in the setting spark.annalist.key; without one, a random key, whose pseudonyms link within this session only."""
+    given = spark.conf.get("spark.annalist.key", None)
+    return given.encode()[:64] if given else _random_key()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,11 +71,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find_pii(table(spark, d, "documents"))
+    return pii.find_pii(table(spark, d, "documents"), key_of(spark)).drop("placeholder")
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(table(spark, d, "documents"), KEY)
+    return pii.redact(table(spark, d, "documents"), key_of(spark))
 
 
 def p9_counts(spark: SparkSession, d: str) -> DataFrame:

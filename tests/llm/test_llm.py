@@ -9,7 +9,7 @@ pytest.importorskip("annalist.llm")
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
-from annalist.llm import boilerplate, chunking, leakage, mixing, pii, queries  # noqa: E402
+from annalist.llm import boilerplate, chunking, leakage, mixing, names, pii, queries  # noqa: E402
 from oracle import database, same  # noqa: E402
 
 
@@ -279,19 +279,54 @@ WANT = [
 ]
 
 
+def seen_in(texts):
+    import pandas as pd
+
+    return pd.concat(names._seen(iter([pd.DataFrame({"text": texts})]), tuple(names.GIVEN), tuple(names.TITLES)))
+
+
+STEMS, ENDINGS = "thurv kelv norq ostr garv hask".split(), "dale ova ani sen mond wick".split()
+LESSON = [f"Mr {g.title()} {(s + e).title()} said that the bank at Tarnwick shall keep a record of every loan." for g, s, e in zip(names.GIVEN, STEMS * 30, [e for e in ENDINGS for _ in range(25)])]
+
+
 def test_found_spans(spark):
-    found = [(k, TEXT[a:b]) for k, a, b in pii.Finder().spans(TEXT)]
+    model = names.fit(seen_in(LESSON))
+    found = [(k, TEXT[a:b]) for k, a, b in pii.Finder(model).spans(TEXT)]
     assert found == WANT
     shifted = "İ\U0001f600 " + TEXT  # letters whose lower case is longer, and code points beyond 16 bits
     df = spark.createDataFrame([(1, shifted, 5), (2, None, 5), (3, "", 5), (None, TEXT, 5), (1, shifted, 5)], "doc_id long, text string, start_pos int")
-    got = pii.find_pii(df).distinct().collect()
+    got = pii.find_pii(df, b"k", {"names": model}).distinct().collect()
     assert sorted((r.pii_kind, shifted[r.start_pos : r.end_pos]) for r in got) == sorted(WANT)
-    red = {r.doc_id: r for r in pii.redact(df, b"k").collect()}
+    red = {r.doc_id: r for r in pii.redact(df, b"k", {"names": model}).collect()}
     assert red[2].redacted is None and red[3].redacted == "" and red[1].n_found == len(WANT)
     left = red[1].redacted
     for k, v in WANT:
         assert v not in left and f"[{k.upper()} " in left
-    assert "0044978925034 is an account" in left and "The Kelvani Committee" in left and pii.find_pii(df.limit(0)).count() == 0
+    assert "0044978925034 is an account" in left and "The Kelvani Committee" in left and pii.find_pii(df.limit(0), b"k").count() == 0
+    assert {r.pii_kind for r in pii.find_pii(df, b"k", {"names": model, "kinds": ("phone",)}).collect()} == {"phone"}
+
+
+def test_names_that_are_on_no_list():
+    """Without a fit the given names of the list, or a title, are enough; initials and lower case need what was learned."""
+    f = pii.Finder()
+    yes = ["John Smith", "Maria Gonzalez", "Wei Zhang", "Olga Petrova", "Anna B. Kowalska", "Pierre Lefèvre-Dubois", "Fatima O’Neill"]
+    assert [[t[a:b] for _, a, b in f.spans(t)] for t in (f"we asked {n} about it" for n in yes)] == [[n] for n in yes]
+    assert [[t[a:b] for _, a, b in f.spans(t)] for t in ("Dear Dr Bogdan Wisniewski, yes", "Señora Itziar Etxeberria.")] == [["Bogdan Wisniewski"], ["Itziar Etxeberria"]]
+    no = ["John Street 5", "Maria and others", "Anna Leasing Ltd", "Section A. The bank", "in May Directions", "Smith left", "maria lives here", "john.smith", "Rosa Bank of Lowfen"]
+    assert [f.spans(n) for n in no if not [k for k, *_ in f.spans(n) if k == "email"]] == [[] for _ in no]
+
+
+def test_classifier_knows_surnames_it_never_saw():
+    """Fitted without a third of the surnames, it still tells them from other words."""
+    seen = seen_in(LESSON)
+    every = sorted(s + e for s in STEMS for e in ENDINGS)
+    held = set(random.Random(1).sample(every, 12))
+    model = names.fit(seen[~seen["word"].isin(held)].reset_index(drop=True))
+    others = "said that the bank shall keep record every loan tarnwick direction committee paragraph mortgage repayment".split()
+    assert sum(model.score(w) > 0 for w in held) >= 0.9 * len(held) and not any(model.score(w) > 0 for w in others)
+    t = "signed by q. haskwick and Q. Haskwick, Haskwick, Q. and haskwick alone"
+    assert [t[a:b] for _, a, b in pii.Finder(model).spans(t)] == ["q. haskwick", "Q. Haskwick", "Haskwick, Q."]
+    assert names.fit(seen[:0]).score("haskwick") < 0
 
 
 @settings(max_examples=200, deadline=None)
@@ -308,9 +343,15 @@ def test_permutation_is_one_to_one():
 
 def test_pseudonyms_keep_format_and_link_equal_values():
     p = lambda k, t: pii.pseudonym(b"key", k, t)
-    assert p("phone", "+999 53 555 0135") == p("phone", "00999535550135") == p("phone", "(053) 555-0135") != p("phone", "053 555 0136")
-    assert p("id_number", "4167-5803 95") == p("id_number", "4167580395") and len(p("id_number", "4167580395")) == 10 and p("id_number", "4167580395")[0] != "0"
-    for kind, text in (("id_number", "TXK83119B"), ("id_number", "N4696262"), ("id_number", "4167580395"), ("phone", "0535550135"), ("date", "2024-02-29")):
-        assert pii.pseudonym(b"key", kind, p(kind, text), back=True) == text
+    digits = lambda t: "".join(c for c in t if c.isdigit())[-9:]
+    a, b = p("phone", "+999 53 555 0135"), p("phone", "(053) 555-0135")
+    assert digits(a) == digits(b) == digits(p("phone", "00999535550135")) != digits(p("phone", "053 555 0136"))
+    assert a[:5] == "+999 " and [c for c in a if not c.isdigit()] == list("+   ") and b[0] == "(" and b[2:4] != "53" and b[4:6] == ") " and b[9] == "-"
+    assert digits(p("id_number", "4167-5803 95")) == digits(p("id_number", "4167580395")) and p("id_number", "4167580395")[0] != "0" and p("id_number", "4167-5803 95")[4::5] == "- "
+    for kind, text in (("id_number", "TXK 83119 b"), ("id_number", "n469 6262"), ("id_number", "4167580395"), ("phone", "0535550135"), ("phone", "+999 (53) 555.01.35"), ("date", "2024-02-29"), ("date", "29.02.2024"), ("date", "01/12/1999")):
+        new = p(kind, text)
+        assert new != text and len(new) == len(text) and [c.isdigit() for c in new] == [c.isdigit() for c in text] and pii.pseudonym(b"key", kind, new, back=True) == text
+    t = "on 2024-02-29, 29.02.2024 and 31.02.2024, ref 12/21.04.018/2024-25"
+    assert [(k, t[a:b]) for k, a, b in pii.Finder(kinds=("date",)).spans(t)] == [("date", "2024-02-29"), ("date", "29.02.2024")] and pii.Finder().spans(t) == []
     assert pii.placeholder(b"k", "name", "Kelvani, Priya") == pii.placeholder(b"k", "name", "PRIYA KELVANI")
     assert pii.placeholder(b"k", "email", "a@b.example") == pii.placeholder(b"k", "email", "A [at] b [dot] example")
