@@ -1,9 +1,10 @@
 """Lines repeated across the pages of one source, found and removed.
 
-Per source a mergeable heavy-hitter summary (a frequent-items sketch, combined before the shuffle) counts on how many pages each
-line stands; it misses no line above twice its error bound, and the bound is checked: if it isn't below half the threshold, a larger
-summary is made. The candidates, few per source, are then counted exactly in a second pass, and the confirmed ones leave as a
-broadcast set whose size was checked.
+Per source a mergeable heavy-hitter summary (a frequent-items sketch, combined before the shuffle) counts in how many versions each
+line stands. A line stands in at least as many versions as on pages, so none that passes the threshold of pages is missed as long as the
+summary's error stays below it; that is checked, a larger summary is made where it doesn't hold, and the lines of a source that is too
+much for the largest are counted exactly. The candidates, few per source, are then counted exactly by pages in a second pass, and the
+confirmed ones leave as a broadcast set whose size was checked.
 
 Defined results: lines agree after lower-casing, turning each run of other characters than a-z into a space and trimming; below 12
 characters a line never counts; a line counts if it stands on at least 5 and at least 20 % of the source's distinct pages, over all
@@ -23,7 +24,7 @@ LEAST_CHARS, LEAST_PAGES, LEAST_SHARE = 12, 5, 0.2
 COUNTERS, MOST_COUNTERS = 8_192, 524_288
 #: The sketch's error is at most this times the items counted, divided by its counters.
 ERROR = 3.5
-#: Rows of a set that may be broadcast.
+#: Rows of a set that may be broadcast; a larger one is joined without a hint.
 MOST_LINES = 500_000
 
 
@@ -37,32 +38,37 @@ def _lines(versions: DataFrame, *more: str) -> DataFrame:
     return versions.select("source", "page", *more, F.posexplode(keys).alias("line_no", "line")).filter(F.length("line") >= LEAST_CHARS)
 
 
-def candidates(versions: DataFrame, pages: DataFrame, counters: int = COUNTERS) -> DataFrame:
+def candidates(versions: DataFrame, pages: DataFrame, counters: int = COUNTERS, most: int = MOST_COUNTERS) -> DataFrame:
     """(source, line hash) of every line that may pass the thresholds, and some more."""
     hashed = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), line_key), lambda x: F.length(x) >= LEAST_CHARS), lambda x: F.xxhash64(x)))
-    stands = versions.select("source", F.xxhash64("page").alias("page"), F.explode(hashed).alias("line")).distinct()
+    stands = versions.select("source", F.explode(hashed).alias("line"))
+    left, found = None, None
     while True:
-        summary = stands.groupBy("source").agg(F.expr(f"approx_top_k_accumulate(line, {counters})").alias("s"), F.count(F.lit(1)).alias("n_items"))
-        found = summary.join(pages, "source").select("source", "n_items", "least", F.expr(f"approx_top_k_estimate(s, {counters})").alias("top"))
-        rows = found.select("source", "n_items", "least", F.filter("top", lambda t: t["count"] >= F.col("least")).alias("top"))
-        rows = rows.select("source", F.col("n_items").alias("n"), "least", F.explode_outer("top.item").alias("line"))
-        got = bounded(rows, MOST_LINES)
+        rows = stands if left is None else stands.join(left, "source", "left_semi")
+        summary = rows.groupBy("source").agg(F.expr(f"approx_top_k_accumulate(line, {counters})").alias("s"), F.count(F.lit(1)).alias("n"))
+        top = summary.join(pages, "source").select("source", "n", "least", F.expr(f"approx_top_k_estimate(s, {counters})").alias("top"))
         # exact while a source has no more items than 3/4 of the counters, else good if the threshold exceeds twice the error
-        weak = got.filter((F.col("n") > 0.75 * counters) & (F.col("least") <= 2 * ERROR * F.col("n") / counters)).limit(1).count()
-        if not weak or counters >= MOST_COUNTERS:
-            if weak:
-                raise ValueError("a source has too many different lines per page for a summary of the largest size")
-            return got.filter("line is not null").select("source", "line")
-        counters *= 8
-
-
-def repeated_lines(versions: DataFrame, counters: int = COUNTERS) -> DataFrame:
+        weak = (F.col("n") > 0.75 * counters) & (F.col("least") <= 2 * ERROR * F.col("n") / counters)
+        top = top.select("source", weak.alias("weak"), F.when(~weak, F.filter("top", lambda t: t["count"] >= F.col("least"))).alias("top"))
+        got = bounded(top.select("source", "weak", F.explode_outer("top.item").alias("line")), MOST_LINES)
+        good = got.filter("not weak and line is not null").select("source", "line")
+        found = good if found is None else found.unionByName(good)
+        left = got.filter("weak").select("source").distinct()
+        if not left.limit(1).count():
+            return found
+        if counters >= most:
+            exact = stands.join(left, "source", "left_semi").groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
+            return found.unionByName(exact.join(pages, "source").filter("n >= least").select("source", "line"))
+        counters = min(most, 8 * counters)
+
+
+def repeated_lines(versions: DataFrame, counters: int = COUNTERS, most: int = MOST_COUNTERS) -> DataFrame:
     """source, line (normalised), n_pages of the lines repeated within a source. ``versions``: source, page, text."""
     rows = versions.filter("source is not null and page is not null")
     pages = rows.select("source", "page").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     pages = bounded(pages.select("source", F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") * LEAST_SHARE)).alias("least")), MOST_LINES)
-    may = candidates(rows, pages, counters).withColumnRenamed("line", "hash")
-    exact = _lines(rows).withColumn("hash", F.xxhash64("line")).join(F.broadcast(may), ["source", "hash"]).select("source", "page", "line").distinct()
+    may = bounded(candidates(rows, pages, counters, most).withColumnRenamed("line", "hash"), MOST_LINES)
+    exact = _lines(rows).withColumn("hash", F.xxhash64("line")).join(may, ["source", "hash"]).select("source", "page", "line").distinct()
     return exact.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n_pages")).join(pages, "source").filter("n_pages >= least").drop("least")
 
 

@@ -82,10 +82,11 @@ def versions(spark):
     return spark.createDataFrame(own + few + odd + own[:3], VERSION)
 
 
-@pytest.mark.parametrize("counters", [boilerplate.COUNTERS, 16])
-def test_repeated_lines(spark, counters):
+@pytest.mark.parametrize("counters,most", [(boilerplate.COUNTERS, boilerplate.MOST_COUNTERS), (16, 16_384), (16, 16)])
+def test_repeated_lines(spark, counters, most):
+    """With a summary that is enough, one that has to grow, and the exact way."""
     v = versions(spark)
-    r = boilerplate.repeated_lines(v, counters)
+    r = boilerplate.repeated_lines(v, counters, most)
     assert [(x.source, x.line, x.n_pages) for x in r.collect()] == [("s", "follow us on the network", 10)]
     places = {(x.version_id, x.line_no) for x in boilerplate.repeated_places(v, r, ["version_id"]).collect()}
     assert places == {(f"v{i}", 0) for i in range(40)} | {("n2", 0)}
@@ -241,6 +242,9 @@ def test_mixture_against_brute_force(spark):
             sizes[n] = sizes.get(n, 0) + 1
     c = mixing._scale(rest, list(sizes.items()))
     assert abs(sum(min(1, c * n) * n * k for n, k in sizes.items()) - rest) < 1e-3
+    binned = {x.source: x.c for x in plan.collect()}["a"]
+    assert abs(binned / c - 1) < 0.01  # from the histogram of sizes
+    c = binned
     from pyspark.sql import functions as F
 
     u = {x.doc_id: x.u for x in df.select("doc_id", ((F.pmod(F.xxhash64("doc_id", F.lit(mixing.SEED)), F.lit(2**52)) + 0.5) / F.lit(float(2**52))).alias("u")).collect()}
