@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -184,9 +185,7 @@ def _round(key: bytes, n: int, value: int, size: int) -> int:
 
 def permute(key: bytes, value: int, size: int, back: bool = False, rounds: int = 8) -> int:
     """A keyed permutation of range(size): a Feistel network on two halves, repeated until the result lies in the range."""
-    half = 1
-    while half * half < size:
-        half += 1
+    half = math.isqrt(size - 1) + 1
     while True:
         a, b = divmod(value, half)
         if back:
