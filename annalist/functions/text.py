@@ -50,10 +50,9 @@ def sentences(c: Column) -> Column:
 
 
 def clean_sentence(c: Column) -> Column:
-    """Without the chapter, number and item marks before it."""
-    out = F.trim(F.regexp_replace(c, r"\s+", " "))
-    out = F.regexp_replace(out, r"(?i)^Chapter [IVXLC]+:\s*", "")
-    return F.regexp_replace(out, r"(?i)^[ivxlcdm]+\.\s+", "")
+    """Without the chapter, paragraph heading and item marks before it."""
+    lead = r"(?i)^(?:chapter [ivxlc]+:\s*)?(?:\d+\.\s+[^.]+?\s+(?=[ivxlcdm]+\.\s))?(?:[ivxlcdm]+\.\s+)?"
+    return F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), lead, "")
 
 
 def comparable(c: Column) -> Column:
@@ -71,18 +70,21 @@ def title_stem(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(out, "–—-", "   "), r"\s+", " "))
 
 
+# Document types by the titles they are known by, the first that fits.
+DOCUMENT_TYPES = [
+    (r"\bfaqs?\b|frequently asked questions", "faq"),
+    (r"\bamendment\b", "amendment"),
+    (r"^master direction", "master_direction"),
+    (r"^master circular", "master_circular"),
+    (r"\bdirections?,?\s+\d{4}\b", "directions"),
+    (r"\bregulations,?\s+\d{4}\b", "regulations"),
+]
+
+
 def document_type(title: Column) -> Column:
-    """The first rule that fits."""
-    t = F.lower(title)
-    return (
-        F.when(t.contains("master direction") | t.contains("directions"), "master_direction")
-        .when(t.contains("master circular"), "master_circular")
-        .when(t.contains("amendment"), "amendment")
-        .when(t.contains("frequently asked") | t.contains("faq"), "faq")
-        .when(t.contains("press"), "press_release")
-        .when(t.contains("circular"), "circular")
-        .otherwise("notification")
-    )
+    """By the printed title; other titles are circulars, no title gives none."""
+    found = F.coalesce(*[F.when(F.lower(title).rlike(p), F.lit(k)) for p, k in DOCUMENT_TYPES], F.lit("circular"))
+    return F.when(F.coalesce(title, F.lit("")) != "", found)
 
 
 def parse_date(c: Column) -> Column:
@@ -98,9 +100,10 @@ def short_year(c: Column) -> Column:
 
 
 def department_reference(c: Column) -> Column:
-    """One comparable key for a department's reference, however it is spaced."""
-    out = F.regexp_replace(c, r"(?i)[.\s]*\bNo\.\s*", ".")
-    return short_year(F.regexp_replace(F.upper(F.regexp_replace(out, r"\s+", "")), r"\.{2,}", "."))
+    """One comparable key for a department's reference: its dotted parts without spaces and without the word No."""
+    bare = lambda part: F.regexp_replace(F.regexp_replace(part, r"(?i)(?:^|\s)\s*no\s*$", ""), r"\s", "")
+    parts = F.filter(F.transform(F.split(c, r"\."), bare), lambda x: x != "")
+    return short_year(F.upper(F.array_join(parts, ".")))
 
 
 def source_key(url: Column) -> Column:

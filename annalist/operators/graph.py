@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.functions import text as T
+from annalist.operators import scan
 from annalist.sources.shared import materialize
 
 
@@ -30,25 +30,23 @@ def induced(edges: DataFrame, chosen: DataFrame, by: list[str] | None = None) ->
     return edges.join(a, "source").join(b, [*by, "target"])
 
 
+# Words of a query that match no node, and the traversal that its signal words call for, the first that fits.
+NO_MATCH = ["which", "does", "this", "that", "what"]
+TEMPLATES = [("change", ["supersed", "replaced", "replaces"]), ("amendments", ["amend"]), ("applicability", ["apply", "subject to", "which entities"]), ("products", ["product", "digital lending", "co-lending"])]
+
+
 def match_nodes(nodes: DataFrame, queries: DataFrame, node_type: str, most: int = 3) -> DataFrame:
-    """query_id, id of the nodes that share most words with a query; ties go to the larger id."""
-    q = queries.select("query_id", F.explode(F.array_except(T.terms(F.col("query")), F.array(*[F.lit(w) for w in ("which", "does", "this", "that", "what")]))).alias("term"))
-    n = nodes.filter(F.col("type") == node_type).select("id", F.explode(T.terms(F.col("title"))).alias("term"))
-    score = q.join(n, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("overlap"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), F.desc("id"))
-    return score.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("query_id", "id", "overlap")
+    """query_id, id, overlap: the nodes that share most words with a query; ties go to the larger id.
+
+    The nodes are scored where they lie (``scan``), so words that stand in many titles multiply nothing.
+    """
+    return scan.overlap_top_k(nodes.filter(F.col("type") == node_type), "id", "title", queries, most, frozenset(NO_MATCH))
 
 
 def template(query: Column) -> Column:
-    """Which traversal answers a query, by its signal words."""
+    """Which traversal answers a query."""
     q = F.lower(query)
-    return (
-        F.when(q.rlike("supersed|replaced|replaces"), "change")
-        .when(q.contains("amend"), "amendments")
-        .when(q.rlike("apply|subject to|which entities"), "applicability")
-        .when(q.rlike("product|digital lending|co-lending"), "products")
-        .otherwise("entities")
-    )
+    return F.coalesce(*[F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(q, w)), F.lit(name)) for name, words in TEMPLATES], F.lit("entities"))
 
 
 def detail(edges: DataFrame, hidden: str = "PART_OF") -> DataFrame:

@@ -28,10 +28,11 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(NOTE.sub("", text).lower())
 
 
-def _best(score: np.ndarray, keys: np.ndarray, k: int, places: int) -> Iterator[tuple[int, int, float]]:
+def _best(score: np.ndarray, keys: np.ndarray, k: int, places: int, largest: bool = False) -> Iterator[tuple[int, int, float]]:
     """(row, query, score) of the best k rows per query, by rounded score and key; score 0 or less is none."""
     score = np.round(score, places)
     order = np.argsort(keys, kind="stable")
+    order = order[::-1] if largest else order
     score = score[order]
     n, k = len(score), min(k, len(score))
     least = np.partition(score, n - k, axis=0)[n - k]
@@ -42,8 +43,8 @@ def _best(score: np.ndarray, keys: np.ndarray, k: int, places: int) -> Iterator[
             yield order[r], q, score[r, q]
 
 
-def scan_top_k(docs: DataFrame, key: str, columns: list[str], blocks: list[tuple[list, Matrix]], k: int, places: int = 6) -> DataFrame:
-    """query_id, key, score, rank. ``blocks``: (query ids, what scores a batch of rows against them)."""
+def scan_top_k(docs: DataFrame, key: str, columns: list[str], blocks: list[tuple[list, Matrix]], k: int, places: int = 6, largest: bool = False) -> DataFrame:
+    """query_id, key, score, rank. ``blocks``: (query ids, what scores a batch of rows against them); ties by key, the smallest or the largest first."""
     kind = docs.schema[key].dataType.simpleString()
     found = None
     for ids, scorer in blocks:
@@ -53,7 +54,7 @@ def scan_top_k(docs: DataFrame, key: str, columns: list[str], blocks: list[tuple
                 for at in range(0, len(b), BATCH):
                     part = b.iloc[at : at + BATCH]
                     keys = part[key].to_numpy()
-                    rows = [(ids[q], keys[r], float(s)) for r, q, s in _best(scorer(part), keys, k, places)]
+                    rows = [(ids[q], keys[r], float(s)) for r, q, s in _best(scorer(part), keys, k, places, largest)]
                     if rows:
                         yield pd.DataFrame(rows, columns=["query_id", key, "score"])
 
@@ -61,7 +62,7 @@ def scan_top_k(docs: DataFrame, key: str, columns: list[str], blocks: list[tuple
         found = one if found is None else found.unionByName(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"query_id long, {key} {kind}, score double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(key) if largest else F.asc(key))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -169,6 +170,27 @@ def blended_top_k(docs: DataFrame, key: str, text: str, title: str, queries: Dat
     return scan_top_k(docs, key, [text, title], blocks, k)
 
 
+def overlap_top_k(rows: DataFrame, key: str, text: str, queries: DataFrame, k: int, stops: frozenset = frozenset()) -> DataFrame:
+    """query_id, key, overlap: the k rows that share most different words of three letters or more with a query; ties go to the larger key."""
+    blocks = []
+    for q in query_blocks(queries.filter("query is not null"), ["query"]):
+        own = [set(LONG.findall(x.lower())) - stops for x in q["query"]]
+        ids = {w: i for i, w in enumerate(sorted({w for x in own for w in x}))}
+        asked = np.zeros((max(1, len(ids)), len(q)), dtype=np.float32)
+        for j, x in enumerate(own):
+            asked[[ids[w] for w in x], j] = 1
+
+        def score(part: pd.DataFrame, ids=ids, asked=asked) -> np.ndarray:
+            there = np.zeros((len(part), len(asked)), dtype=np.float32)
+            for i, t in enumerate(part[text]):
+                there[i, [ids[w] for w in set(LONG.findall(t.lower())) if w in ids]] = 1
+            return there @ asked
+
+        blocks.append((q["query_id"].tolist(), score))
+    found = scan_top_k(rows.filter(F.col(text).isNotNull()), key, [text], blocks, k, largest=True)
+    return found.select("query_id", key, F.col("score").cast("long").alias("overlap"))
+
+
 def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, others_only: bool = True) -> DataFrame:
     """The k nearest by cosine of unit vectors. ``queries``: query_id, q; with ``others_only`` a vector isn't its own neighbour."""
     blocks = []

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 
-NUMBER = r"\b\d+(?:\.\d+)?%?"
+# What counts as a number and as a date when versions are compared.
+NUMBER = r"\b\d+(?:\.\d+)?%?\b"
 DATE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\w+ \d{1,2},? \d{4}\b"
 # Methods that read an explicit statement of repeal or supersession, and statuses in which a document no longer rules.
 EXPLICIT = ("repeal_annex", "repeal_sentence", "supersession_sentence", "superseded_by_statement")
@@ -45,16 +46,17 @@ def materiality(d: Column) -> Column:
     return F.when((F.size(d["changed_numbers"]) > 0) | (F.size(d["changed_dates"]) > 0), "HIGH").otherwise("MEDIUM")
 
 
+#: What a text says about itself, the strongest first.
+STATED = [
+    ("WITHDRAWN", r"(?:^|\n)[ \t]*withdrawn[ \t]*(?:\n|$)|\bwithdrawn[ \t]*[.?!]?\s*$|\bthis (?:master )?(?:circular|directions?)\b[^\n]{0,80}\b(?:is|stands?) withdrawn\b"),
+    ("SUPERSEDED", r"\bthis (?:master )?(?:circular|directions?)\b[^\n]{0,80}\bsuperseded\b"),
+    ("REPEALED", r"\bthis (?:master )?(?:circular|directions?)\b[^\n]{0,80}\b(?:is|stands?) repealed\b"),
+]
+
+
 def stated_lifecycle(text: Column) -> Column:
     """Only what the text states: withdrawn before superseded before repealed; everything else needs review."""
-    this = r"\bthis (?:circular|master circular|direction|directions)\b.{0,80}\b"
-    t = F.lower(text)
-    return (
-        F.when(t.rlike(rf"(?m)^\s*withdrawn\s*$|\bwithdrawn\b\s*[.?!]?\s*$|{this}(?:stands?|is) withdrawn\b"), "WITHDRAWN")
-        .when(t.rlike(rf"{this}superseded(?: by)?\b"), "SUPERSEDED")
-        .when(t.rlike(rf"{this}(?:stands?|is) repealed\b"), "REPEALED")
-        .otherwise("REVIEW_REQUIRED")
-    )
+    return F.coalesce(*[F.when(F.lower(text).rlike(p), F.lit(k)) for k, p in STATED], F.lit("REVIEW_REQUIRED"))
 
 
 def watermark_lifecycle(html: Column) -> Column:
@@ -68,23 +70,23 @@ def settled(official: Column, stored: Column, approved: Column) -> Column:
 
 
 def trust_reasons(domain: str, auto: bool = True) -> Column:
-    """All the conditions that a link fails. Columns: relation, scope, method, evidence_quote, n_matched, new_* and old_* url, day, status and id."""
-    c, none = F.col, F.lit(None).cast("string")
-    missing = c("new_day").isNull() | c("old_day").isNull()
-    rules = [
-        (F.lit(not auto), F.lit("automatic trust is switched off")),
-        (~c("relation").eqNullSafe(F.lit("SUPERSEDES")), F.concat(F.lit("a "), F.lower(F.coalesce("relation", F.lit("unknown"))), F.lit(" link does not replace the old document and needs review"))),
-        (~c("scope").eqNullSafe(F.lit("WHOLE")), F.lit("only part of the old document is repealed")),
-        (~F.coalesce(c("method").isin(*EXPLICIT), F.lit(False)), F.concat(F.lit("'"), F.coalesce("method", F.lit("")), F.lit("' is not an explicit statement of repeal or supersession"))),
-        (F.coalesce(F.trim("evidence_quote"), F.lit("")) == "", F.lit("no quoted evidence")),
-        (c("n_matched") != 1, F.concat(F.lit("the statement matches "), c("n_matched").cast("string"), F.lit(" documents in the corpus, not exactly one"))),
-        (~T.owned_by(c("new_url"), domain) | ~T.owned_by(c("old_url"), domain), F.lit("a document is not on an official domain")),
-        (missing, F.lit("an issue date is missing")),
-        (~missing & (c("new_day") <= c("old_day")), F.lit("the new document was not issued after the old one")),
-        (F.coalesce(c("new_status").isin(*NON_OPERATIVE), F.lit(False)), F.concat(F.lit("the authority marks the new document "), F.lower("new_status"))),
-        (c("new_id").eqNullSafe(c("old_id")), F.lit("a document cannot replace itself")),
-    ]
-    return F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), said).otherwise(none) for test, said in rules]), lambda r: r.isNotNull())
+    """Codes of all the conditions that a link fails. Columns: relation, scope, method, evidence_quote, n_matched, new_* and old_* url, day, status and id."""
+    c = F.col
+    dated = c("new_day").isNotNull() & c("old_day").isNotNull()
+    holds = {  # a null answer is a failure, unless the condition says otherwise
+        "automatic": F.lit(auto),
+        "replaces": c("relation") == "SUPERSEDES",
+        "whole": c("scope") == "WHOLE",
+        "explicit": c("method").isin(*EXPLICIT),
+        "quoted": F.trim("evidence_quote") != "",
+        "one_match": c("n_matched") == 1,
+        "official": T.owned_by(c("new_url"), domain) & T.owned_by(c("old_url"), domain),
+        "dated": dated,
+        "later": ~dated | (c("new_day") > c("old_day")),
+        "operative": ~F.coalesce(c("new_status").isin(*NON_OPERATIVE), F.lit(False)),
+        "another": ~c("new_id").eqNullSafe(c("old_id")),
+    }
+    return F.array_compact(F.array(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(f"not {code}")) for code, test in holds.items()]))
 
 
 def switch_over(old_end: Column, successor_start: Column, today: Column) -> Column:

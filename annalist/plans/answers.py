@@ -12,6 +12,7 @@ from annalist.operators import eligibility as E
 from annalist.operators import evidence as V
 from annalist.operators import linking as L
 from annalist.operators import metrics as M
+from annalist.operators import segmentation as S
 from annalist.operators import versions
 from annalist.plans import ranking, rules
 from annalist.plans.rules import PAST, TODAY, links, log, register
@@ -76,11 +77,11 @@ def a18_micro_precision_recall(spark, d):
     return M.micro(r.join(s, "issuing_authority"), "found", "gold")
 
 
-@query(r"""WITH v AS (SELECT canonical_url, version_id, txt, row_number() OVER (PARTITION BY canonical_url ORDER BY recorded_at, version_id) AS n, count(*) OVER (PARTITION BY canonical_url) AS m FROM $LOG WHERE txt IS NOT NULL),
-  p AS (SELECT canonical_url, n = 1 AS old, line_no, list_distinct(regexp_extract_all(lower(line), '[a-z0-9]{3,}')) AS w FROM (SELECT canonical_url, n, unnest(string_split(txt, chr(10))) AS line, unnest(range(len(string_split(txt, chr(10))))) AS line_no FROM v WHERE m > 1 AND (n = 1 OR n = m))),
-  o AS (SELECT canonical_url, old, line_no, len(w) AS n, unnest(w) AS w FROM p),
-  s AS (SELECT a.canonical_url, a.line_no AS old_key, b.line_no AS new_key, round(count(*) / sqrt(any_value(a.n) * any_value(b.n)::DOUBLE), 6) AS score FROM o a JOIN o b ON a.old AND NOT b.old AND a.canonical_url = b.canonical_url AND a.w = b.w GROUP BY 1, 2, 3)
-  SELECT canonical_url, CAST(old_key AS INT) AS old_key, CAST(new_key AS INT) AS new_key, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY canonical_url, old_key ORDER BY score DESC, new_key) = 1""")
+@query(r"""WITH v AS (SELECT canonical_url, txt, row_number() OVER (PARTITION BY canonical_url ORDER BY recorded_at, version_id) AS n, count(*) OVER (PARTITION BY canonical_url) AS m FROM $LOG WHERE txt IS NOT NULL AND canonical_url IS NOT NULL),
+  p AS (SELECT canonical_url, n, m, k, line, list_distinct(regexp_extract_all(lower(line), '[a-z0-9]{3,}')) AS w FROM (SELECT canonical_url, n, m, unnest(string_split(txt, chr(10))) AS line, unnest(range(len(string_split(txt, chr(10))))) AS k FROM v) WHERE trim(line, ' ') <> ''),
+  s AS (SELECT a.canonical_url, a.n, a.k, b.k AS new_key, round(len(list_intersect(a.w, b.w)) / sqrt(len(a.w) * len(b.w)::DOUBLE), 6) AS score FROM p a JOIN p b ON a.canonical_url = b.canonical_url AND b.n = a.n + 1 WHERE len(list_intersect(a.w, b.w)) > 0),
+  t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY canonical_url, n, k ORDER BY score DESC, new_key) = 1)
+  SELECT p.canonical_url, CAST(p.n AS INT) AS step, CAST(p.k AS INT) AS old_key, CAST(CASE WHEN score >= 0.3 THEN new_key END AS INT) AS new_key, coalesce(score, 0.0) AS score FROM p LEFT JOIN t USING (canonical_url, n, k) WHERE p.n < p.m""")
 def j14_paragraph_map(spark, d):
     """Each paragraph of a version of a page with the most similar one of the next version, or none; step counts the page's versions."""
     w = Window.partitionBy("canonical_url").orderBy("recorded_at", "version_id")
@@ -88,9 +89,23 @@ def j14_paragraph_map(spark, d):
     return V.best_match(v.filter("next is not null"), ["canonical_url", "step"], "txt", "next")
 
 
-@query(r"""WITH p AS (SELECT DISTINCT chunk_id, document_id, text FROM chunks WHERE text IS NOT NULL), d AS (SELECT document_id, trim(regexp_replace(lower(unnest(regexp_extract_all(text, '[“"]([^”"]{2,80})[”"]\s*(?:,\s*)?(?:means|shall mean|includes|shall include|refers to)\b', 1))), '[^a-z0-9]+', ' ', 'g')) AS term FROM p)
+_WITHIN = """nm AS (SELECT chunk_id, document_id, list_filter(regexp_extract_all(text, '(?i:\\b(?:paragraphs?|paras?)\\s+\\d{1,3}\\b(?:\\s*(?:,|and|to)\\s*\\d{1,3}\\b)*)(?:$ELSE)?'), lambda x: NOT regexp_matches(x, '$ELSE$')) AS ms
+    FROM passages_all WHERE NOT coalesce(regexp_matches(lower(document_title), '\\bamendment\\b'), false)),
+  lb AS (SELECT chunk_id, document_id, unnest(flatten(list_transform(ms, lambda x: regexp_extract_all(x, '\\d+')))) AS label FROM nm),
+  fp AS (SELECT document_id, paragraph_ref AS label, min_by(chunk_id, struct_pack(i := chunk_index, c := chunk_id)) AS target FROM passages_all WHERE document_id IS NOT NULL AND paragraph_ref IS NOT NULL GROUP BY 1, 2),
+  wi AS (SELECT chunk_id, target FROM lb JOIN fp USING (document_id, label) WHERE target <> chunk_id)""".replace("$ELSE", S.ELSEWHERE)
+_REFS = f"list_concat(regexp_extract_all(text, '{S.DEPARTMENT}'), regexp_extract_all(text, '{S.SERIES}'))"
+_KEY = r"regexp_replace(regexp_replace(upper(regexp_replace(regexp_replace($R, '(?i)[.\s]*\bNo\.\s*', '.', 'g'), '\s+', '', 'g')), '\.{2,}', '.', 'g'), '\b(\d{4})-\d{2}(\d{2})\b', '\1-\2', 'g')"
+_ACROSS = f"""bn AS (SELECT {_KEY.replace('$R', 'n')} AS k, min(id) AS target FROM (SELECT id, unnest(list_append(coalesce(circular_numbers, []), document_identifier)) AS n FROM $REG) WHERE n IS NOT NULL GROUP BY 1),
+  pr AS (SELECT chunk_id, lower(trim(document_id)) AS own, {_KEY.replace('$R', 'r')} AS k FROM (SELECT chunk_id, document_id, unnest({_REFS}) AS r FROM passages_all)),
+  ac AS (SELECT chunk_id, target FROM pr JOIN bn USING (k) WHERE target IS DISTINCT FROM own)"""
+_CHUNKS = "passages_all AS (SELECT DISTINCT chunk_id, document_id, document_title, paragraph_ref, chunk_index, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)"
+
+
+@query(rf"""WITH {_CHUNKS}, {_WITHIN}, {_ACROSS}, p AS (SELECT DISTINCT chunk_id, document_id, text FROM chunks WHERE text IS NOT NULL), d AS (SELECT unnest(regexp_extract_all(text, '{V.MEANS}', 1)) AS term FROM p)
   SELECT 'DEFINES' AS type, count(*) AS n FROM d UNION ALL SELECT 'ISSUED_BY', count(*) FILTER (issuing_authority IS NOT NULL) FROM $REG UNION ALL SELECT 'PART_OF', count(DISTINCT chunk_id) FROM p
-  UNION ALL SELECT relation, count(*) FROM $LINKS WHERE trust IN ('APPROVED', 'AUTO_TRUSTED') AND relation IN ('SUPERSEDES', 'AMENDS') GROUP BY relation""")
+  UNION ALL SELECT 'REFERS_TO', (SELECT count(*) FROM wi) + (SELECT count(*) FROM ac) UNION ALL SELECT 'WITHDRAWS', count(DISTINCT lower(trim(document_id))) FROM removed_documents WHERE lower(trim(document_id)) IN (SELECT id FROM $REG)
+  UNION ALL SELECT relation, count(*) FROM $LINKS WHERE coalesce(trust <> 'REJECTED', true) AND relation IN ('SUPERSEDES', 'AMENDS') GROUP BY relation""")
 def g1_graph_edges(spark, d):
     """Edges of the provenance graph by type; candidates and rejected links are none. What APPLIES_TO and REQUIRES are is read by a hosted model."""
     p = table(spark, d, "chunks").filter("text is not null").select("chunk_id", "document_id", "text").distinct()

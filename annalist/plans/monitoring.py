@@ -31,14 +31,15 @@ def query(sql: str | None = None):
 
 _KEY = r"regexp_replace(regexp_replace(upper(regexp_replace(regexp_replace($R, '(?i)[.\s]*\bNo\.\s*', '.', 'g'), '\s+', '', 'g')), '\.{2,}', '.', 'g'), '\b(\d{4})-\d{2}(\d{2})\b', '\1-\2', 'g')"
 _REFS = f"list_concat(regexp_extract_all($T, '{S.DEPARTMENT}'), regexp_extract_all($T, '{S.SERIES}'))"
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
 @query(
-    rf"""WITH h AS (SELECT doc_id, substr(text, 1, 400) AS t FROM documents WHERE text IS NOT NULL)
-  SELECT doc_id, array_to_string(list_transform({_REFS.replace('$T', 't')}, lambda r: {_KEY.replace('$R', 'r')}), ' ') AS numbers,
-    coalesce(CAST(try_strptime(regexp_replace(regexp_replace(regexp_extract(t, '\b((?:{_MONTHS}) +\d{{1,2}},? +\d{{4}})\b', 1), ',', '', 'g'), ' +', ' ', 'g'), '%B %d %Y') AS DATE),
-      CAST(try_strptime(regexp_replace(regexp_extract(t, '\b(\d{{2}}[./]\d{{2}}[./]\d{{4}})\b', 1), '/', '.', 'g'), '%d.%m.%Y') AS DATE)) AS issued, split_part(t, chr(10), 1) AS first_line FROM h"""
+    rf"""WITH a AS (SELECT doc_id, text, regexp_extract(text, '(?s)^(.*?)({L._NUMBER}(?:\s*{L._NUMBER})*)', 1) AS b, regexp_extract(text, '(?s)^(.*?)({L._NUMBER}(?:\s*{L._NUMBER})*)', 2) AS o FROM documents WHERE text IS NOT NULL),
+  c AS (SELECT doc_id, text, b, CASE WHEN length(b) < 3000 THEN o ELSE '' END AS o FROM a), e AS (SELECT *, string_split(substr(text, length(b) + length(o) + 1), chr(10))[1:5] AS after FROM c),
+  g AS (SELECT *, list_filter(after, lambda x: regexp_matches(x, '{L.DATE_LINE}'))[1] AS l, list_filter(after, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '{L.DATE_LINE}'))[1] AS t FROM e)
+  SELECT doc_id, array_to_string(list_transform(regexp_extract_all(o, '{L._NUMBER}'), lambda r: {_KEY.replace('$R', 'r')}), ' ') AS numbers,
+    CASE WHEN o <> '' THEN coalesce(CAST(try_strptime(regexp_replace(regexp_replace(trim(l), ',', '', 'g'), ' +', ' ', 'g'), '%B %d %Y') AS DATE), CAST(try_strptime(replace(trim(l), '/', '.'), '%d.%m.%Y') AS DATE)) END AS issued,
+    CASE WHEN o <> '' AND regexp_matches(b, '(?:^|\n)[ \t]*\z') AND trim(after[1]) = '' THEN trim(t) END AS title, split_part(text, chr(10), 1) AS first_line FROM g"""
 )
 def x11_header_facts(spark, d):
     f = table(spark, d, "documents").filter("text is not null").select("doc_id", L.header_facts(F.col("text")).alias("f"))

@@ -185,9 +185,13 @@ def r11_section_context(spark, d):
     return R.section_context(passages(spark, d))
 
 
-@query(r"""WITH t AS (SELECT DISTINCT request_id, trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS q FROM query_requests WHERE query IS NOT NULL),
-  f AS (SELECT regexp_matches(q, 'appl|subject to|which entities|relat|replaced|replaces|supersed|amend|changed|change between|difference|compare') AS g, regexp_matches(q, 'what is|what does|define|purpose|meaning|penal charges') AS v, len(regexp_extract_all(q, '\b(?:bank|borrower|lender|circular|direction)\w*\b')) AS m FROM t)
-  SELECT CASE WHEN g AND (v OR m >= 2) THEN 'HYBRID' WHEN g THEN 'GRAPH' ELSE 'VECTOR' END AS route, count(*) AS n FROM f GROUP BY 1""")
+_HAS = lambda words: "len(list_filter(['" + "', '".join(words) + "'], lambda w: contains(q, w))) > 0"
+
+
+@query(
+    r"WITH t AS (SELECT DISTINCT request_id, trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS q FROM query_requests WHERE query IS NOT NULL), f AS (SELECT "
+    + f"{_HAS(R.GRAPH_SIGNALS)} AS g, {_HAS(R.PASSAGE_SIGNALS)} AS v, len(regexp_extract_all(q, '\\b(?:{'|'.join(R.ACTORS)})\\w*\\b')) AS m FROM t) SELECT CASE WHEN g AND (v OR m >= 2) THEN 'HYBRID' WHEN g THEN 'GRAPH' ELSE 'VECTOR' END AS route, count(*) AS n FROM f GROUP BY 1"
+)
 def r13_routes(spark, d):
     return table(spark, d, "query_requests").filter("query is not null").select("request_id", "query").distinct().groupBy(R.route(F.col("query")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -320,10 +324,11 @@ def x10_references(spark, d):
 
 @query()
 def x8_structure_chunks(spark, d):
-    return S.structure_chunks(table(spark, d, "documents").filter("text is not null"), "doc_id", "text")
+    return S.chunked(table(spark, d, "documents").filter("text is not null"), "doc_id", "text")
 
 
-@query()
+@query(r"""WITH $PASS, m AS (SELECT chunk_id, document_id, list_filter(regexp_extract_all(text, '(?i:\b(?:paragraphs?|paras?)\s+\d{1,3}\b(?:\s*(?:,|and|to)\s*\d{1,3}\b)*)(?:$ELSE)?'), lambda x: NOT regexp_matches(x, '$ELSE$')) AS ms FROM passages WHERE text IS NOT NULL),
+  l AS (SELECT chunk_id, document_id, flatten(list_transform(ms, lambda x: regexp_extract_all(x, '\d+'))) AS ls FROM m) SELECT chunk_id, document_id, unnest(ls) AS label, CAST(unnest(range(len(ls))) AS INT) AS place FROM l""".replace("$ELSE", S.ELSEWHERE).replace("$PASS", _PASS))
 def g3_paragraph_references(spark, d):
     return S.paragraph_references(passages(spark, d))
 

@@ -17,7 +17,8 @@ TODAY, PAST = datetime.date(2024, 7, 1), datetime.date(2022, 6, 30)
 DOMAIN = "norvale.example"
 ENTITIES = ["bank", "lender", "credit union", "credit house", "dealer"]
 TOPICS = ["microloan", "mortgage", "gold loan", "overdraft", "credit line", "working capital"]
-SCOPE = ["loan", "mortgage", "overdraft", "credit", "lease", "deposit"]
+# Words that a question within the scope has.
+SCOPE = ["advance", "asset classification", "bank", "borrower", "co-lend", "colend", "collateral", "credit", "default", "digital lending", "emi", "interest", "kfs", "lend", "loan", "mortgage", "nbfc", "penal", "property document", "provision", "repayment", "settlement"]
 QUERIES, SQL = {}, {}
 
 
@@ -82,10 +83,8 @@ def f5_documents_in_force(spark, d):
     return register(spark, d).filter(E.document_in_force(TODAY)).select("id")
 
 
-@query("""SELECT DISTINCT chunk_id, CASE WHEN coalesce(upper(trim(lifecycle)), 'UNKNOWN') IN ('REVIEW_REQUIRED', 'UNKNOWN') THEN 'status not yet confirmed by review'
-  WHEN in_force_from > $TODAY THEN 'not yet in force on ' || $TODAY::VARCHAR || ' (from ' || in_force_from::VARCHAR || ')'
-  WHEN in_force_to <= $TODAY THEN 'no longer in force on ' || $TODAY::VARCHAR || ' (ended ' || in_force_to::VARCHAR || ', ' || lower(upper(trim(lifecycle))) || ')'
-  WHEN NOT coalesce(is_current, true) THEN 'an older version of the page' ELSE lower(upper(trim(lifecycle))) END AS reason
+@query("""SELECT DISTINCT chunk_id, CASE WHEN coalesce(upper(trim(lifecycle)), 'UNKNOWN') IN ('REVIEW_REQUIRED', 'UNKNOWN') THEN 'unsettled' WHEN in_force_from > $TODAY THEN 'starts ' || in_force_from::VARCHAR
+  WHEN in_force_to <= $TODAY THEN 'ended ' || in_force_to::VARCHAR WHEN NOT coalesce(is_current, true) THEN 'older version' ELSE lower(upper(trim(lifecycle))) END AS reason
   FROM chunks WHERE NOT (coalesce(authority_current, false) AND coalesce(is_current, true) AND coalesce(in_force_from <= $TODAY, true) AND coalesce($TODAY < in_force_to, true))""")
 def f6_exclusion_reasons(spark, d):
     c = table(spark, d, "chunks")
@@ -113,7 +112,7 @@ def f10_updates_by_topic(spark, d):
     return table(spark, d, "doc_versions").filter(F.lower("title").contains("micro")).select("version_id", "title").distinct()
 
 
-@query("SELECT regexp_matches(lower(query), 'loan|mortgage|overdraft|credit|lease|deposit') AS in_scope, count(DISTINCT request_id) AS n FROM query_requests WHERE query IS NOT NULL GROUP BY 1")
+@query("SELECT len(list_filter(['" + "', '".join(SCOPE) + "'], lambda w: contains(lower(query), w))) > 0 AS in_scope, count(DISTINCT request_id) AS n FROM query_requests WHERE query IS NOT NULL GROUP BY 1")
 def f12_scope_guard(spark, d):
     q = table(spark, d, "query_requests").filter("query is not null")
     return q.groupBy(F.lower("query").rlike("|".join(SCOPE)).alias("in_scope")).agg(F.count_distinct("request_id").alias("n"))
@@ -321,7 +320,7 @@ def w4_closed_versions(spark, d):
 
 _DIFF = r"""WITH t AS (SELECT version_id, h, txt, lag(h) OVER w AS ph, lag(txt) OVER w AS ptxt FROM $LOG WINDOW w AS (PARTITION BY canonical_url ORDER BY recorded_at, version_id)),
   l AS (SELECT version_id, list_distinct(list_filter(list_transform(string_split(ptxt, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS ol, list_distinct(list_filter(list_transform(string_split(txt, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS nl,
-    list_distinct(regexp_extract_all(ptxt, '\b\d+(?:\.\d+)?%?')) AS o1, list_distinct(regexp_extract_all(txt, '\b\d+(?:\.\d+)?%?')) AS n1,
+    list_distinct(regexp_extract_all(ptxt, '\b\d+(?:\.\d+)?%?\b')) AS o1, list_distinct(regexp_extract_all(txt, '\b\d+(?:\.\d+)?%?\b')) AS n1,
     list_distinct(regexp_extract_all(ptxt, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\w+ \d{1,2},? \d{4}\b')) AS o2, list_distinct(regexp_extract_all(txt, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\w+ \d{1,2},? \d{4}\b')) AS n2
     FROM t WHERE ptxt IS NOT NULL AND txt IS NOT NULL AND h IS DISTINCT FROM ph),
   r AS (SELECT version_id, len(list_filter(nl, lambda x: NOT list_contains(ol, x))) AS n_added, len(list_filter(ol, lambda x: NOT list_contains(nl, x))) AS n_removed,
@@ -337,11 +336,7 @@ def m2_diff(spark, d):
     return x.select("version_id", F.size("x.added").alias("n_added"), F.size("x.removed").alias("n_removed"), F.array_join("x.changed_numbers", " ").alias("numbers"), F.array_join("x.changed_dates", "; ").alias("dates"), V.materiality(F.col("x")).alias("materiality"))
 
 
-_THIS = r"\bthis (?:circular|master circular|direction|directions)\b.{0,80}\b"
-
-
-@query(rf"""SELECT found, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '(?m)^\s*withdrawn\s*$|\bwithdrawn\b\s*[.?!]?\s*$|{_THIS}(?:stands?|is) withdrawn\b') THEN 'WITHDRAWN' WHEN regexp_matches(t, '{_THIS}superseded(?: by)?\b') THEN 'SUPERSEDED'
-  WHEN regexp_matches(t, '{_THIS}(?:stands?|is) repealed\b') THEN 'REPEALED' ELSE 'REVIEW_REQUIRED' END AS found FROM (SELECT lower(text) AS t FROM (SELECT DISTINCT chunk_id, text FROM chunks) WHERE text IS NOT NULL)) GROUP BY 1""")
+@query("SELECT found, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in V.STATED) + " ELSE 'REVIEW_REQUIRED' END AS found FROM (SELECT lower(text) AS t FROM (SELECT DISTINCT chunk_id, text FROM chunks) WHERE text IS NOT NULL)) GROUP BY 1")
 def m4_stated_lifecycle(spark, d):
     c = table(spark, d, "chunks").select("chunk_id", "text").distinct().filter("text is not null")
     return c.groupBy(V.stated_lifecycle(F.col("text")).alias("found")).agg(F.count(F.lit(1)).alias("n"))
@@ -350,24 +345,22 @@ def m4_stated_lifecycle(spark, d):
 _TRUST = """WITH k AS (SELECT l.*, o.source_url AS old_url, w.source_url AS new_url, o.publication_date AS old_day, w.publication_date AS new_day, w.st AS new_status, (SELECT count(*) FROM $REG q WHERE q.id = l.old_id) AS n_matched
   FROM $LINKS l LEFT JOIN $REG o ON o.id = l.old_id LEFT JOIN $REG w ON w.id = l.new_id),
   h AS (SELECT *, lower(regexp_extract(old_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS oh, lower(regexp_extract(new_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS nh FROM k),
-  r AS (SELECT link_id, relation, old_id, new_id, list_filter([CASE WHEN relation IS DISTINCT FROM 'SUPERSEDES' THEN 'a ' || lower(coalesce(relation, 'unknown')) || ' link does not replace the old document and needs review' END,
-   CASE WHEN scope IS DISTINCT FROM 'WHOLE' THEN 'only part of the old document is repealed' END,
-   CASE WHEN NOT coalesce(method IN ('repeal_annex', 'repeal_sentence', 'supersession_sentence', 'superseded_by_statement'), false) THEN '''' || coalesce(method, '') || ''' is not an explicit statement of repeal or supersession' END,
-   CASE WHEN coalesce(trim(evidence_quote), '') = '' THEN 'no quoted evidence' END,
-   CASE WHEN n_matched <> 1 THEN 'the statement matches ' || n_matched || ' documents in the corpus, not exactly one' END,
-   CASE WHEN NOT (coalesce(nh = 'norvale.example' OR ends_with(nh, '.norvale.example'), false) AND coalesce(oh = 'norvale.example' OR ends_with(oh, '.norvale.example'), false)) THEN 'a document is not on an official domain' END,
-   CASE WHEN new_day IS NULL OR old_day IS NULL THEN 'an issue date is missing' END, CASE WHEN new_day <= old_day THEN 'the new document was not issued after the old one' END,
-   CASE WHEN new_status IN ('WITHDRAWN', 'REPEALED', 'SUPERSEDED') THEN 'the authority marks the new document ' || lower(new_status) END, CASE WHEN new_id IS NOT DISTINCT FROM old_id THEN 'a document cannot replace itself' END], lambda x: x IS NOT NULL) AS reasons FROM h)
+  r AS (SELECT link_id, relation, old_id, new_id, list_filter([CASE WHEN relation IS DISTINCT FROM 'SUPERSEDES' THEN 'not replaces' END, CASE WHEN scope IS DISTINCT FROM 'WHOLE' THEN 'not whole' END,
+   CASE WHEN NOT coalesce(method IN ('repeal_annex', 'repeal_sentence', 'supersession_sentence', 'superseded_by_statement'), false) THEN 'not explicit' END,
+   CASE WHEN coalesce(trim(evidence_quote), '') = '' THEN 'not quoted' END, CASE WHEN n_matched <> 1 THEN 'not one_match' END,
+   CASE WHEN NOT (coalesce(nh = 'norvale.example' OR ends_with(nh, '.norvale.example'), false) AND coalesce(oh = 'norvale.example' OR ends_with(oh, '.norvale.example'), false)) THEN 'not official' END,
+   CASE WHEN new_day IS NULL OR old_day IS NULL THEN 'not dated' END, CASE WHEN new_day <= old_day THEN 'not later' END,
+   CASE WHEN new_status IN ('WITHDRAWN', 'REPEALED', 'SUPERSEDED') THEN 'not operative' END, CASE WHEN new_id IS NOT DISTINCT FROM old_id THEN 'not another' END], lambda x: x IS NOT NULL) AS reasons FROM h)
 """
 
 
-@query(_TRUST + "SELECT DISTINCT link_id, relation, old_id, new_id, CASE WHEN len(reasons) = 0 THEN 'AUTO_TRUSTED' ELSE 'REVIEW_REQUIRED' END AS decision, array_to_string(reasons, '; ') AS reasons FROM r")
+@query(_TRUST + "SELECT DISTINCT link_id, relation, old_id, new_id, CASE WHEN len(reasons) = 0 THEN 'AUTO_TRUSTED' ELSE 'REVIEW_REQUIRED' END AS decision, array_to_string(reasons, ', ') AS reasons FROM r")
 def m10_trust(spark, d):
     r = register(spark, d)
     side = lambda p: r.select(F.col("id").alias(f"{p}_id"), F.col("source_url").alias(f"{p}_url"), F.col("publication_date").alias(f"{p}_day"), F.col("st").alias(f"{p}_status"))
     k = links(spark, d).join(side("old").withColumn("one", F.lit(1)), "old_id", "left").join(side("new"), "new_id", "left").withColumn("n_matched", F.coalesce("one", F.lit(0)))
     k = k.withColumn("why", V.trust_reasons(DOMAIN))
-    return k.select("link_id", "relation", "old_id", "new_id", F.when(F.size("why") == 0, "AUTO_TRUSTED").otherwise("REVIEW_REQUIRED").alias("decision"), F.array_join("why", "; ").alias("reasons")).distinct()
+    return k.select("link_id", "relation", "old_id", "new_id", F.when(F.size("why") == 0, "AUTO_TRUSTED").otherwise("REVIEW_REQUIRED").alias("decision"), F.array_join("why", ", ").alias("reasons")).distinct()
 
 
 @query("""WITH s AS (SELECT old_id AS id, min(w.in_force_from) AS starts FROM $LINKS l JOIN $REG w ON w.id = new_id WHERE relation = 'SUPERSEDES' AND trust IN ('APPROVED', 'AUTO_TRUSTED') AND w.in_force_from IS NOT NULL GROUP BY 1)
@@ -417,9 +410,7 @@ def c20_addresses(spark, d):
     return u.select("url", T.source_key(F.col("url")).alias("source_key"), T.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query("""SELECT CASE WHEN contains(t, 'master direction') OR contains(t, 'directions') THEN 'master_direction' WHEN contains(t, 'master circular') THEN 'master_circular' WHEN contains(t, 'amendment') THEN 'amendment'
-  WHEN contains(t, 'frequently asked') OR contains(t, 'faq') THEN 'faq' WHEN contains(t, 'press') THEN 'press_release' WHEN contains(t, 'circular') THEN 'circular' ELSE 'notification' END AS kind, count(*) AS n
-  FROM (SELECT lower(title) AS t FROM $REG WHERE title IS NOT NULL) GROUP BY 1""")
+@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN t = '' THEN NULL " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for p, k in T.DOCUMENT_TYPES) + " ELSE 'circular' END AS kind FROM (SELECT lower(title) AS t FROM $REG WHERE title IS NOT NULL)) GROUP BY 1")
 def c16_document_types(spark, d):
     return register(spark, d).filter("title is not null").groupBy(T.document_type(F.col("title")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist.functions import text
-from annalist.operators import eligibility, evidence, graph, metrics, retrieval, scan, segmentation, versions
+from annalist.operators import eligibility, evidence, graph, metrics, pages, retrieval, scan, segmentation, versions
 from annalist.sources import files, shared
 from annalist.streaming import monitor
 from helpers import rows
@@ -84,16 +84,17 @@ PAGE = """<html><head><style>p {}</style></head><body><nav>Menu</nav><div id="co
 
 
 def test_page_text(spark):
-    assert segmentation.html_text(PAGE) == "Title\nKept text & more\nnext\na\nb"
-    assert segmentation.html_text("<nav>x</nav><p>only</p>") == "only" and segmentation.html_text("") == "" and segmentation.html_text(None) is None
+    assert pages.html_text(PAGE) == "Title\nKept text & more\nnext\na\nb"
+    assert pages.html_text("<nav>x</nav><p>only</p>") == "only" and pages.html_text("") == "" and pages.html_text(None) is None
     df = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")
-    assert [r.text for r in segmentation.pages_to_text(df, "page_id", "html").orderBy("page_id").collect()][1] is None
+    assert [r.text for r in pages.pages_to_text(df, "page_id", "html").orderBy("page_id").collect()][1] is None
 
 
 def test_units_follow_their_numbers():
     doc = "Heading\nChapter I - General\n1. First [^1]\n7. not a paragraph\n2. Second\nmore\n[^1] amended in 2020\nAnnex A\n1. Again\n\n"
     assert segmentation.units(doc) == [
-        ("text", "", "Heading"), ("1", "Chapter I - General", "1. First [^1]\n7. not a paragraph\n[^1] amended in 2020"), ("2", "Chapter I - General", "2. Second\nmore"), ("1", "Annex A", "1. Again"),
+        ("text", (), ["Heading"]), ("1", ("Chapter I - General",), ["1. First [^1]", "7. not a paragraph", "[^1] amended in 2020"]),
+        ("2", ("Chapter I - General",), ["2. Second", "more"]), ("1", ("Annex A",), ["1. Again"]),
     ]
     assert segmentation.units("") == []
 
@@ -183,7 +184,7 @@ def test_eligibility(spark):
     assert names(eligibility.is_current_guidance(day, today)) == {"open", "since", "null"}
     assert names(eligibility.is_current_guidance(day, day)) == {"open"}
     assert names(eligibility.is_upcoming(day)) == {"later"}
-    assert {r.id: r.w for r in df.select("id", eligibility.why_excluded(day).alias("w")).collect()}["gone"] == "an older version of the page"
+    assert {r.id: r.w for r in df.select("id", eligibility.why_excluded(day).alias("w")).collect()}["gone"] == "older version"
 
 
 def test_metrics(spark):
@@ -203,7 +204,7 @@ def test_decisions(spark):
     good = ("SUPERSEDES", "WHOLE", "repeal_annex", "q", 1, "https://www.gov.example/a", "https://gov.example/b", dt.date(2024, 1, 2), dt.date(2024, 1, 1), "ACTIVE", "n", "o")
     bad = ("AMENDS", None, "guess", " ", 2, "https://notgov.example/a", None, None, dt.date(2024, 1, 1), "REPEALED", "o", "o")
     got = [r.why for r in spark.createDataFrame([good, bad], c).select(versions.trust_reasons("gov.example").alias("why")).collect()]
-    assert got[0] == [] and len(got[1]) == 9 and "an issue date is missing" in got[1]
+    assert got[0] == [] and len(got[1]) == 9 and "not dated" in got[1]
     end = spark.createDataFrame([(None, dt.date(2024, 2, 1)), (dt.date(2024, 1, 1), dt.date(2024, 2, 1)), (None, dt.date(2025, 1, 1))], "e date, s date").select(versions.switch_over(F.col("e"), F.col("s"), F.lit(dt.date(2024, 6, 1))).alias("x"))
     assert [r.x for r in end.collect()] == [dt.date(2024, 2, 1), dt.date(2024, 1, 1), None]
     d = spark.createDataFrame([("Rate 5 %\nold line", "Rate 6 %\n old line \nnew on May 8, 2024")], "a string, b string").select(versions.diff(F.col("a"), F.col("b")).alias("d")).first().d
@@ -218,3 +219,43 @@ def test_upserts_are_idempotent(spark):
     assert rows(once) == [(1, "a"), (2, "b"), (3, "y")] == rows(versions.insert_if_absent(new, once, "k"))
     assert rows(versions.upsert(new.distinct(), old, "k")) == [(1, "a"), (2, "x"), (3, "y")]
     assert rows(versions.delete(old, new, "k")) == [(1, "a")]
+
+
+def test_pages_that_are_badly_written():
+    t = pages.html_text
+    assert t("<p>a<p>b<br/>c</div>d") == "a\nb\nc d".replace("c d", "cd") and t("<!-- x <p> -->a<!DOCTYPE html>b") == "ab" and t("a<script>if (1<2) x()") == "a"
+    assert t("<DIV ID='Content'>in</DIV>out") == "in" and t("<p title='a > b'>x</p>") == "x" and t("<p>" * 5000 + "deep") == "deep"
+
+
+def test_listed_links(spark):
+    page = "<a href='/n/1'>Old  title</a><a class=x href=\"b.html\">Loan <b>rules</b></a><a href='#top'>Top</a><a href='/n/1'>New loan title</a><a href='https://else.example/c'></a><a href='mailto:a@b.c'>Mail loans</a>"
+    df = spark.createDataFrame([("s", page, "https://a.example/list/index.html"), ("n", None, None)], "id string, html string, base string")
+    want = [("s", "https://a.example/list/b.html", "Loan rules", 1), ("s", "https://a.example/n/1", "New loan title", 0)]
+    assert rows(pages.listed_links(df, "id", "html", "base")) == want
+    assert rows(pages.listed_links(df, "id", "html", "base", ["new"])) == [("s", "https://a.example/n/1", "New loan title", 0)]
+    kinds = spark.createDataFrame([("application/pdf", "x.html"), (None, "https://a/b.HTML?x=1"), (None, "https://a/b"), ("text/plain", None)], "h string, u string")
+    assert [r.k for r in kinds.select(pages.media_type(F.col("h"), F.col("u")).alias("k")).collect()] == ["pdf", "html", "pdf", "text"]
+
+
+def test_contents_tables_and_long_lines():
+    toc = "Contents\nChapter I General\n1. Scope\n2. Limits .... 3\nChapter I General\n1. Scope\nBody one\n2. Limits\nBody two"
+    u = segmentation.units(toc)
+    assert [x[0] for x in u] == ["contents", "1", "2"] and u[0][2][-1] == "2. Limits .... 3" and u[1][2] == ["1. Scope", "Body one"]
+    assert segmentation.contents_range(["Contents", "only once", "twice"]) == range(0)
+    table = ["List of limits", "1", "Loans", "5%", "2", "Cards", "7%"]
+    assert segmentation.table_runs(["A long line of prose that goes on well beyond the width of any cell."] + table[1:]) == [(1, 7)]
+    parts = segmentation.blocks(["intro words here", *table], 6)
+    assert all(segmentation.count_words("\n".join(p)) <= 6 for p in parts) and sum("List of limits" in p for p in parts) > 1
+    one = "w " * 1500
+    for name, cut in segmentation.CHUNKERS.items():
+        got = cut(one)
+        assert all(segmentation.count_words(t) <= 600 for _, _, t in got) or name == "recursive"
+        assert cut("") == []
+    got = segmentation.structure("1. " + "alpha " * 700 + "\n2. Short\n3. Short too")
+    assert [x[0] for x in got] == ["1 (part1)", "1 (part2)", "2–3"]
+    assert [len(t.split()) for _, _, t in segmentation.fixed("x " * 1000)] == [500, 500, 100]
+
+
+def test_page_lines(spark):
+    df = spark.createDataFrame([("d", 1, " 12 \nfirst  \n\nsecond"), ("d", 2, "7 days\n8"), ("d", 3, None), ("d", 4, "")], "id string, page int, text string")
+    assert rows(segmentation.page_lines(df, "id", "page", "text")) == [("d", 1, 0, "first"), ("d", 1, 1, "second"), ("d", 2, 0, "7 days"), ("d", 2, 1, "8")]
