@@ -1,9 +1,11 @@
 """Best k of all rows for many queries in one scan: rows are scored where they lie, and only each batch's best k leave it.
 
 Nothing but k rows per query and batch is shuffled, however many rows share words with a query. The queries are a stated set; they go to the
-executors in blocks of BLOCK, each with its own vocabulary, and a batch is a matrix product. Order: rounded score, then key.
+executors in blocks of BLOCK. Texts are read from an index that is built once: their words as numbers, so that a batch is scored by array
+operations without looking at a text again. Order: rounded score, then key.
 
-Defined results: null texts and queries match nothing; a row without any word of a query is no result of it; equal keys count as rows.
+Defined results: null texts and queries match nothing; a row without any word of a query is no result of it; equal keys count as rows; words
+are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -11,21 +13,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
+from annalist.sources.shared import materialize, scratch
 
 BLOCK, BATCH, DIMENSIONS = 1024, 1024, 384
-NOTE, WORD, LONG, TWO = re.compile(r"\[\^[0-9]{1,3}\]"), re.compile("[a-z0-9]+"), re.compile("[a-z0-9]{3,}"), re.compile("[a-z0-9]{2,}")
-Matrix = Callable[[pd.DataFrame], np.ndarray]
-
-
-def words_of(text: str) -> list[str]:
-    return WORD.findall(NOTE.sub("", text).lower())
+LONG = re.compile("[a-z0-9]{3,}")
+#: The days of open bounds.
+NEVER, EVER = -(2**30), 2**30
+Matrix = Callable[[pa.RecordBatch], np.ndarray]
 
 
 def _best(score: np.ndarray, keys: np.ndarray, k: int, places: int, largest: bool = False) -> Iterator[tuple[int, int, float]]:
@@ -46,19 +49,20 @@ def _best(score: np.ndarray, keys: np.ndarray, k: int, places: int, largest: boo
 def scan_top_k(docs: DataFrame, key: str, columns: list[str], blocks: list[tuple[list, Matrix]], k: int, places: int = 6, largest: bool = False) -> DataFrame:
     """query_id, key, score, rank. ``blocks``: (query ids, what scores a batch of rows against them); ties by key, the smallest or the largest first."""
     kind = docs.schema[key].dataType.simpleString()
+    schema = pa.schema([("query_id", pa.int64()), (key, pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("score", pa.float64())])
     found = None
     for ids, scorer in blocks:
 
-        def run(batches: Iterator[pd.DataFrame], ids=ids, scorer=scorer) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, scorer=scorer) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, len(b), BATCH):
-                    part = b.iloc[at : at + BATCH]
-                    keys = part[key].to_numpy()
-                    rows = [(ids[q], keys[r], float(s)) for r, q, s in _best(scorer(part), keys, k, places, largest)]
+                for at in range(0, b.num_rows, BATCH):
+                    part = b.slice(at, BATCH)
+                    keys = part.column(key).to_numpy(zero_copy_only=False)
+                    rows = [(ids[q], keys[r], float(x)) for r, q, x in _best(scorer(part), keys, k, places, largest)]
                     if rows:
-                        yield pd.DataFrame(rows, columns=["query_id", key, "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        one = docs.select(key, *columns).mapInPandas(run, f"query_id long, {key} {kind}, score double")
+        one = docs.select(key, *columns).mapInArrow(run, f"query_id long, {key} {kind}, score double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"query_id long, {key} {kind}, score double, rank int")
@@ -78,116 +82,180 @@ def query_blocks(queries: DataFrame, columns: list[str]) -> Iterator[pd.DataFram
         yield pd.DataFrame(block, columns=["query_id", *columns])
 
 
-def _held(part: pd.DataFrame, window: tuple[str, str], days: np.ndarray) -> np.ndarray:
+# the index: a text's words as numbers
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def blake_place(word: str) -> int:
+    """The other hash that vectors are made with."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big") % DIMENSIONS
+
+
+def _blake_places(words: pd.Series) -> pd.Series:
+    known: dict[str, int] = {}
+
+    def place(w: str) -> int:
+        at = known.get(w)
+        if at is None:
+            at = known[w] = blake_place(w)
+        return at
+
+    return words.map(lambda ws: None if ws is None else [place(w) for w in ws])
+
+
+def places(text: Column, hashing: str = "md5") -> Column:
+    """The place of each word of two letters or more in the hashed vector; md5 is done by the engine, blake2b is not."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    if hashing == "blake2b":
+        return F.pandas_udf(_blake_places, "array<int>")(words)
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long") % DIMENSIONS).cast("int"))
+
+
+@dataclass
+class TextIndex:
+    """rows: key, keep, words (all, in order), long (different words of three letters or more), title_long, places; df: word, df; n texts of avg words."""
+
+    rows: DataFrame
+    df: DataFrame
+    n: int
+    avg: float
+    key: str
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str, text: str, title: str | None = None, keep: list[str] | None = None, hashing: str = "md5", folder: str | None = None) -> TextIndex:
+        """Write the index of ``docs`` to a folder (by default of this session). Rows without text have no words, but a title may match."""
+        spark = docs.sparkSession
+        folder = folder or scratch(spark, "texts")
+        heading = F.col(title) if title else F.lit(None).cast("string")
+        rows = docs.select(key, *(keep or []), _hashed(T.tokens(F.col(text))).alias("words"), _hashed(T.terms(F.col(text))).alias("long"), _hashed(T.terms(heading)).alias("title_long"), places(F.col(text), hashing).alias("places"))
+        rows = materialize(rows, path=f"{folder}/rows")
+        materialize(rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), path=f"{folder}/df")
+        return cls.open(spark, folder, key)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, key: str) -> TextIndex:
+        rows = spark.read.parquet(f"{folder}/rows")
+        size = rows.filter("words is not null").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg")).first()
+        return cls(rows, spark.read.parquet(f"{folder}/df"), size["n"], size["avg"] or 1.0, key)
+
+
+def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each element, element, elements per row) of a column of arrays."""
+    c = batch.column(column)
+    n = c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), c.flatten().to_numpy(zero_copy_only=False), n
+
+
+class _Asked:
+    """Which queries ask for which word, and what each asks it for: sorted words, and their queries one after the other."""
+
+    def __init__(self, words: list[np.ndarray], values: list[np.ndarray]) -> None:
+        w, q, x = np.concatenate([*words, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(words)), [len(a) for a in words]), np.concatenate([*values, np.zeros(0)])
+        order = np.argsort(w, kind="stable")
+        self.query, self.value, self.n = q[order], x[order], len(words)
+        self.words, self.first, self.many = np.unique(w[order], return_index=True, return_counts=True)
+
+    def find(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which elements are asked for, number of the word)."""
+        if not len(self.words) or not len(flat):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
+        hit = np.flatnonzero(self.words[at] == flat)
+        return hit, at[hit]
+
+    def add(self, out: np.ndarray, row: np.ndarray, word: np.ndarray, weight: np.ndarray) -> None:
+        """Add weight times value to (row, query) for every query that asks for the word: a sparse product."""
+        n = self.many[word]
+        which = np.repeat(self.first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(row, n) * self.n + self.query[which], np.repeat(weight, n) * self.value[which], out.size).reshape(out.shape)
+
+
+def _held(part: pa.RecordBatch, window: tuple[str, str], days: np.ndarray) -> np.ndarray:
     """Which rows hold on which query's day; null bounds are open."""
-    number = lambda c, none: pd.to_datetime(part[c]).fillna(pd.Timestamp(none)).to_numpy().astype("datetime64[D]")[:, None]
-    return (number(window[0], "1700-01-01") <= days[None, :]) & (days[None, :] < number(window[1], "2200-01-01"))
+    number = lambda c, none: part.column(c).cast(pa.int32()).fill_null(none).to_numpy(zero_copy_only=False)[:, None]
+    return (number(window[0], NEVER) <= days[None, :]) & (days[None, :] < number(window[1], EVER))
 
 
-def bm25_top_k(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, window: tuple[str, str] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The best k texts of each query by BM25. ``queries``: query_id, query, and day if a window of dates must hold on it (before the cut)."""
-    docs = docs.filter(F.col(text).isNotNull())
-    words = T.tokens(F.col(text))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words)).alias("avg")).first()
-    n, average = size["n"], size["avg"] or 1.0
+def bm25_top_k(index: TextIndex, queries: DataFrame, k: int, window: tuple[str, str] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The best k texts of each query by BM25. ``queries``: query_id, query, and day if a window of dates (kept columns) must hold on it, before the cut."""
+    asked = queries.filter("query is not null").select("query_id", _hashed(F.array_distinct(T.tokens(F.col("query")))).alias("w"), *([F.datediff("day", F.lit("1970-01-01")).alias("day")] if window else []))
     blocks = []
-    for q in query_blocks(queries.filter("query is not null"), ["query", *(["day"] if window else [])]):
-        own = [sorted(set(words_of(x))) for x in q["query"]]
-        names = sorted({w for x in own for w in x})
-        if not names:
-            continue
-        wanted = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in names], "term string"))  # the words of at most BLOCK queries
-        df = {r["term"]: r["df"] for r in docs.select(F.explode(F.array_distinct(words)).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
-        ids = {w: i for i, w in enumerate(x for x in names if x in df)}
-        rated = np.zeros((len(ids), len(q)))
-        for j, x in enumerate(own):
-            for w in x:
-                if w in ids:
-                    rated[ids[w], j] = np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-        days = pd.to_datetime(q["day"]).to_numpy().astype("datetime64[D]") if window else None
-
-        def score(part: pd.DataFrame, ids=ids, rated=rated, days=days) -> np.ndarray:
-            weight = np.zeros((len(part), len(ids)))
-            for i, t in enumerate(part[text]):
-                w = words_of(t)
-                for x in w:
-                    if (at := ids.get(x)) is not None:
-                        weight[i, at] += 1
-                weight[i] *= (k1 + 1) / (weight[i] + k1 * (1 - b + b * len(w) / average))
-            out = weight @ rated
+    for q in query_blocks(asked, ["w", *(["day"] if window else [])]):
+        words = [np.array(x, dtype=np.int64) for x in q["w"]]
+        every = np.unique(np.concatenate(words))
+        wanted = index.df.sparkSession.createDataFrame(pd.DataFrame({"word": every}), "word long")  # the words of at most BLOCK queries
+        df = {r["word"]: r["df"] for r in index.df.join(F.broadcast(wanted), "word").collect()}
+        idf = lambda n: np.log(1 + (index.n - n + 0.5) / (n + 0.5))
+        words = [np.array([w for w in x if w in df], dtype=np.int64) for x in words]
+        table = _Asked(words, [np.array([idf(df[w]) for w in x.tolist()]) for x in words])
+        days = q["day"].fillna(NEVER).to_numpy().astype(np.int64) if window else None
+        average = index.avg
+
+        def score(part: pa.RecordBatch, table=table, days=days, average=average) -> np.ndarray:
+            row, flat, length = _flat(part, "words")
+            hit, word = table.find(flat)
+            pair, tf = np.unique(row[hit] * max(1, len(table.words)) + word, return_counts=True)
+            row, word = pair // max(1, len(table.words)), pair % max(1, len(table.words))
+            out = np.zeros((part.num_rows, table.n))
+            table.add(out, row, word, tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / average)))
             return np.where(_held(part, window, days), out, 0.0) if window else out
 
         blocks.append((q["query_id"].tolist(), score))
-    return scan_top_k(docs, key, [text, *(window or [])], blocks, k)
+    return scan_top_k(index.rows, index.key, ["words", *(window or [])], blocks, k)
 
 
-def _place(word: str) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:15], 16) % DIMENSIONS
+def _vectors(row: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    v = np.bincount(row * DIMENSIONS + place, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(float)
+    length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(length > 0, length, 1)
 
 
-def blake_place(word: str) -> int:
-    """The other hash that vectors are made with."""
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big") % DIMENSIONS
-
+def blended_top_k(index: TextIndex, queries: DataFrame, k: int, hashing: str = "md5") -> DataFrame:
+    """0.55 x cosine of hashed vectors + 0.45 x (0.55 x share of the query's words in the text + 0.45 x share in the title); blank queries match nothing.
 
-def hashed_vector(text: str, cache: dict, place=_place) -> np.ndarray:
-    v = np.zeros(DIMENSIONS)
-    for w in TWO.findall(text.lower()):
-        at = cache.get(w)
-        if at is None:
-            at = cache[w] = place(w)
-        v[at] += 1
-    length = np.sqrt((v * v).sum())
-    return v / length if length else v
-
-
-def blended_top_k(docs: DataFrame, key: str, text: str, title: str, queries: DataFrame, k: int, place=_place) -> DataFrame:
-    """0.55 x cosine of hashed vectors + 0.45 x (0.55 x share of the query's words in the text + 0.45 x share in the title); blank queries match nothing."""
-    stops, blocks = frozenset(T.KEYWORD_STOPS), []
-    for q in query_blocks(queries.filter("trim(query) <> ''"), ["query"]):
-        cache: dict[str, int] = {}
-        dense = np.array([hashed_vector(x, cache, place) for x in q["query"]]).T
-        own = [set(LONG.findall(x.lower())) - stops for x in q["query"]]
-        ids = {w: i for i, w in enumerate(sorted({w for x in own for w in x}))}
-        share = np.zeros((max(1, len(ids)), len(q)))
-        for j, x in enumerate(own):
-            for w in x:
-                share[ids[w], j] = 1 / len(x)
-
-        def score(part: pd.DataFrame, dense=dense, ids=ids, share=share) -> np.ndarray:
-            known: dict[str, int] = {}
-            vectors = np.zeros((len(part), DIMENSIONS))
-            there = np.zeros((len(part), len(share)))
-            for i, (t, h) in enumerate(zip(part[text], part[title])):
-                vectors[i] = hashed_vector(t or "", known, place)
-                for s, c in ((t, 0.55), (h, 0.45)):
-                    for w in set(LONG.findall((s or "").lower())):
-                        if (at := ids.get(w)) is not None:
-                            there[i, at] += c
-            return 0.55 * np.maximum(0.0, vectors @ dense) + 0.45 * (there @ share)
+    ``hashing``: what the index was built with.
+    """
+    asked = queries.filter("trim(query) <> ''").select("query_id", _hashed(T.keywords(F.col("query"))).alias("w"), places(F.col("query"), hashing).alias("p"))
+    blocks = []
+    for q in query_blocks(asked, ["w", "p"]):
+        own = [np.array(x, dtype=np.int64) for x in q["p"]]
+        dense = _vectors(np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own).astype(np.int64), len(own)).T
+        words = [np.array(x, dtype=np.int64) for x in q["w"]]
+        table = _Asked(words, [np.full(len(x), 1 / max(1, len(x))) for x in words])
+
+        def score(part: pa.RecordBatch, dense=dense, table=table) -> np.ndarray:
+            row, place, _ = _flat(part, "places")
+            lexical = np.zeros((part.num_rows, table.n))
+            for column, share in (("long", 0.55), ("title_long", 0.45)):
+                at, flat, _ = _flat(part, column)
+                hit, word = table.find(flat)
+                table.add(lexical, at[hit], word, np.full(len(hit), share))
+            return 0.55 * np.maximum(0.0, _vectors(row, place.astype(np.int64), part.num_rows) @ dense) + 0.45 * lexical
 
         blocks.append((q["query_id"].tolist(), score))
-    return scan_top_k(docs, key, [text, title], blocks, k)
+    return scan_top_k(index.rows, index.key, ["places", "long", "title_long"], blocks, k)
 
 
 def overlap_top_k(rows: DataFrame, key: str, text: str, queries: DataFrame, k: int, stops: frozenset = frozenset()) -> DataFrame:
     """query_id, key, overlap: the k rows that share most different words of three letters or more with a query; ties go to the larger key."""
     blocks = []
-    for q in query_blocks(queries.filter("query is not null"), ["query"]):
-        own = [set(LONG.findall(x.lower())) - stops for x in q["query"]]
-        ids = {w: i for i, w in enumerate(sorted({w for x in own for w in x}))}
-        asked = np.zeros((max(1, len(ids)), len(q)), dtype=np.float32)
-        for j, x in enumerate(own):
-            asked[[ids[w] for w in x], j] = 1
-
-        def score(part: pd.DataFrame, ids=ids, asked=asked) -> np.ndarray:
-            there = np.zeros((len(part), len(asked)), dtype=np.float32)
-            for i, t in enumerate(part[text]):
-                there[i, [ids[w] for w in set(LONG.findall(t.lower())) if w in ids]] = 1
-            return there @ asked
+    asked = queries.filter("query is not null").select("query_id", _hashed(T.terms(F.col("query"), sorted(stops))).alias("w"))
+    for q in query_blocks(asked, ["w"]):
+        words = [np.array(x, dtype=np.int64) for x in q["w"]]
+        table = _Asked(words, [np.ones(len(x)) for x in words])
+
+        def score(part: pa.RecordBatch, table=table) -> np.ndarray:
+            row, flat, _ = _flat(part, "long")
+            hit, word = table.find(flat)
+            out = np.zeros((part.num_rows, table.n))
+            table.add(out, row[hit], word, np.ones(len(hit)))
+            return out
 
         blocks.append((q["query_id"].tolist(), score))
-    found = scan_top_k(rows.filter(F.col(text).isNotNull()), key, [text], blocks, k, largest=True)
+    found = scan_top_k(rows.filter(F.col(text).isNotNull()).withColumn("long", _hashed(T.terms(F.col(text)))), key, ["long"], blocks, k, largest=True)
     return found.select("query_id", key, F.col("score").cast("long").alias("overlap"))
 
 
@@ -197,9 +265,10 @@ def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k
     for q in query_blocks(queries.filter("q is not null"), ["q"]):
         matrix, own = np.array(q["q"].tolist(), dtype=np.float64).T, q["query_id"].to_numpy()
 
-        def score(part: pd.DataFrame, matrix=matrix, own=own) -> np.ndarray:
-            out = np.stack(part[vector].to_numpy()).astype(np.float64) @ matrix + 1.0  # so that every row is a result
-            return np.where(part[key].to_numpy()[:, None] == own[None, :], 0.0, np.maximum(out, 1e-9)) if others_only else np.maximum(out, 1e-9)
+        def score(part: pa.RecordBatch, matrix=matrix, own=own) -> np.ndarray:
+            rows = _flat(part, vector)[1].astype(np.float64).reshape(part.num_rows, len(matrix))
+            out = np.maximum(rows @ matrix + 1.0, 1e-9)  # so that every row is a result
+            return np.where(part.column(key).to_numpy(zero_copy_only=False)[:, None] == own[None, :], 0.0, out) if others_only else out
 
         blocks.append((own.tolist(), score))
     found = scan_top_k(vectors.filter(F.col(vector).isNotNull()), key, [vector], blocks, k)

@@ -15,7 +15,7 @@ from annalist.operators import retrieval as R
 from annalist.operators import scan
 from annalist.operators import segmentation as S
 from annalist.plans.rules import LINKS, REG, links, register
-from annalist.sources.shared import table
+from annalist.sources.shared import materialize, table
 
 QUERIES, SQL = {}, {}
 
@@ -35,11 +35,37 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy(F.col("request_id").alias("query_id")).agg(F.max(F.struct("query", "source_url", "paragraph_ref", F.coalesce("as_of", F.to_date("asked_at")).alias("day"))).alias("q")).select("query_id", "q.*")
 
 
-def passages(spark: SparkSession, d: str) -> DataFrame:
-    """One row per chunk with what ranking needs."""
+_WRITTEN: dict[tuple, object] = {}
+
+
+def written(spark: SparkSession, d: str, what: str, make):
+    """What ``make`` gives, made once per session and state of the file ``what`` (its parts' names, sizes and times)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{what}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    at = (spark.sparkContext.applicationId, make.__name__, d, what)
+    if at not in _WRITTEN or _WRITTEN[at][0] != state:
+        _WRITTEN[at] = (state, make(spark, d))
+    return _WRITTEN[at][1]
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").filter("chunk_id is not null and text is not null")
     cols = ["text", "document_title", "document_id", "source_url", "paragraph_ref", "parent_id", "chunk_index", "in_force_from", "in_force_to", "lifecycle", "authority_current", "is_current", "valid_to"]
-    return c.groupBy("chunk_id").agg(F.max(F.struct(*cols)).alias("c")).select("chunk_id", "c.*")
+    return materialize(c.groupBy("chunk_id").agg(F.max(F.struct(*cols)).alias("c")).select("chunk_id", "c.*"), "passages")
+
+
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    """One row per chunk with what ranking needs; written once."""
+    return written(spark, d, "chunks", _passages)
+
+
+def _index(spark: SparkSession, d: str) -> scan.TextIndex:
+    return scan.TextIndex.build(passages(spark, d), "chunk_id", "text", "document_title", ["in_force_from", "in_force_to"])
+
+
+def _blake_index(spark: SparkSession, d: str) -> scan.TextIndex:
+    return scan.TextIndex.build(passages(spark, d), "chunk_id", "text", "document_title", hashing="blake2b")
 
 
 _ASK = """q AS (SELECT request_id AS query_id, max(struct_pack(query := query, source_url := source_url, paragraph_ref := paragraph_ref, day := coalesce(as_of, CAST(asked_at AS DATE)))) AS q
@@ -58,7 +84,7 @@ _BM25 = (
 
 
 def _bm25(spark, d, k):
-    return scan.bm25_top_k(passages(spark, d), "chunk_id", "text", asked(spark, d), k)
+    return scan.bm25_top_k(written(spark, d, "chunks", _index), asked(spark, d), k)
 
 
 @query(_BM25 + " SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM bm WHERE rank <= 5")
@@ -70,7 +96,7 @@ def r2_bm25_topk(spark, d):
   SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM e QUALIFY rank <= 5""")
 def r7_bm25_asof_topk(spark, d):
     """The filter comes before the cut."""
-    return scan.bm25_top_k(passages(spark, d), "chunk_id", "text", asked(spark, d), 5, ("in_force_from", "in_force_to"))
+    return scan.bm25_top_k(written(spark, d, "chunks", _index), asked(spark, d), 5, ("in_force_from", "in_force_to"))
 
 
 @query(f"WITH {_PASS}, w AS (SELECT chunk_id, unnest(regexp_extract_all({_NORM.replace('$X', 'text')}, '[a-z0-9]+')) AS term FROM passages) SELECT term, count(*) AS cf, count(DISTINCT chunk_id) AS df FROM w GROUP BY 1")
@@ -98,7 +124,7 @@ def r3_dense_knn(spark, d):
 @query(_VEC + " SELECT round(avg(CASE WHEN ql = label THEN 1.0 ELSE 0.0 END), 6) AS precision_at_10, round(avg(f), 6) AS mrr, count(DISTINCT query_id) AS n FROM k JOIN (SELECT query_id, coalesce(1.0 / min(rank) FILTER (ql = label), 0) AS f FROM k GROUP BY 1) USING (query_id)")
 def a16_dense_quality(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "label")
-    k = _dense(spark, d).join(v, "vec_id").join(F.broadcast(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))), "query_id")
+    k = _dense(spark, d).join(v, "vec_id").join(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
     per = k.groupBy("query_id").agg(F.avg(F.when(F.col("ql") == F.col("label"), 1.0).otherwise(0.0)).alias("p"), F.coalesce(1.0 / F.min(F.when(F.col("ql") == F.col("label"), F.col("rank"))), F.lit(0.0)).alias("f"))
     return per.agg(F.round(F.avg("p"), 6).alias("precision_at_10"), F.round(F.avg("f"), 6).alias("mrr"), F.count(F.lit(1)).alias("n"))
 
@@ -118,7 +144,7 @@ _BLEND = f"""WITH {_ASK}, {_PASS},
 
 
 def _blended(spark, d, k):
-    return scan.blended_top_k(passages(spark, d), "chunk_id", "text", "document_title", asked(spark, d), k)
+    return scan.blended_top_k(written(spark, d, "chunks", _index), asked(spark, d), k)
 
 
 @query(_BLEND + " SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM br WHERE rank <= 5")
@@ -129,7 +155,7 @@ def r5_blended_topk(spark, d):
 @query()
 def r5_blended_blake2b_topk(spark, d):
     """The same with vectors hashed by blake2b, which SQL lacks."""
-    return scan.blended_top_k(passages(spark, d), "chunk_id", "text", "document_title", asked(spark, d), 5, scan.blake_place)
+    return scan.blended_top_k(written(spark, d, "chunks", _blake_index), asked(spark, d), 5, "blake2b")
 
 
 @query(_BM25 + ", " + _BLEND.split(_PASS + ",", 1)[1] + """,
@@ -199,7 +225,7 @@ def r13_routes(spark, d):
 @query()
 def r14_answer_sentences(spark, d):
     q, p = asked(spark, d).select("query_id", "query"), passages(spark, d).select("chunk_id", F.col("document_title").alias("title"), "text")
-    return R.answer_sentences(_bm25(spark, d, 5).join(p, "chunk_id").join(F.broadcast(q), "query_id"))
+    return R.answer_sentences(_bm25(spark, d, 5).join(p, "chunk_id").join(q, "query_id"))
 
 
 # graph: documents and their links

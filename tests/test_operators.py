@@ -129,6 +129,7 @@ def test_bm25_against_brute_force(spark):
     q = spark.createDataFrame(queries, "query_id long, query string, day date")
     texts = [(k, t.split(), a, b) for k, t, a, b in docs if t is not None]
     avg = sum(len(t) for _, t, *_ in texts) / len(texts)
+    index = scan.TextIndex.build(d, "id", "text", keep=["a", "b"])
     for window in (None, ("a", "b")):
         want = []
         for i, s, day in queries:
@@ -140,8 +141,8 @@ def test_bm25_against_brute_force(spark):
                     if tf and (window is None or (a is None or a <= day) and (b is None or day < b)):
                         scores[k] = scores.get(k, 0) + np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / avg))
             want += [(i, k, n) for n, k in enumerate(sorted(scores, key=lambda k: (-round(scores[k], 6), k))[:7], 1)]
-        assert rows(scan.bm25_top_k(d, "id", "text", q, 7, window).select("query_id", "id", "rank")) == sorted(want, key=repr)
-    assert scan.bm25_top_k(d, "id", "text", q.limit(0), 3).count() == 0 and scan.bm25_top_k(d.limit(0), "id", "text", q, 3).count() == 0
+        assert rows(scan.bm25_top_k(index, q, 7, window).select("query_id", "id", "rank")) == sorted(want, key=repr)
+    assert scan.bm25_top_k(index, q.limit(0), 3).count() == 0 and scan.bm25_top_k(scan.TextIndex.build(d.limit(0), "id", "text"), q, 3).count() == 0
 
 
 def test_dense_and_blended_edges(spark):
@@ -149,7 +150,7 @@ def test_dense_and_blended_edges(spark):
     q = v.filter("id = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     assert rows(scan.dense_top_k(v, "id", "v", q, 5)) == [(0, 1, 0.0, 2), (0, 2, 1.0, 1)]
     d = spark.createDataFrame([("a", "gold loan limits", "Gold"), ("b", None, None), ("c", "other words", "Gold loan")], "id string, t string, h string")
-    got = scan.blended_top_k(d, "id", "t", "h", spark.createDataFrame([(1, "What are gold loan limits"), (2, "  ")], "query_id long, query string"), 5)
+    got = scan.blended_top_k(scan.TextIndex.build(d, "id", "t", "h"), spark.createDataFrame([(1, "What are gold loan limits"), (2, "  ")], "query_id long, query string"), 5)
     assert [(r.query_id, r.id) for r in got.orderBy("rank").collect()] == [(1, "a"), (1, "c")]
 
 
