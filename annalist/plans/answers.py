@@ -211,11 +211,3 @@ def c33_entity_tags(spark, d):
     names = F.array(*[F.lit(w) for w in ("branch manager", "nodal officer", "recovery agent", "credit bureau", "loan officer")])
     docs = table(spark, d, "documents").filter("text is not null").withColumn("low", F.lower("text"))
     return docs.select(F.explode(F.filter(names, lambda w: F.contains(F.col("low"), w))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_docs"))
-
-
-@query()
-def r20_stage_trace(spark, d):
-    """Per request one row for each stage of the ranking: what came in and the best ids that went out."""
-    bm, bl = ranking._bm25(spark, d, 10), ranking._blended(spark, d, 10)
-    rows = bm.select("query_id", "chunk_id", "rank", F.lit("lexical").alias("stage")).unionByName(bl.select("query_id", "chunk_id", "rank", F.lit("blended").alias("stage")))
-    return rows.groupBy("query_id", "stage").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("best"))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 from annalist.operators import graph as G
+from annalist.operators import eligibility as E
 from annalist.operators import metrics as M
+from annalist.operators import pipeline as P
 from annalist.operators import retrieval as R
 from annalist.operators import scan
 from annalist.operators import segmentation as S
-from annalist.plans.rules import LINKS, REG, links, register
+from annalist.plans.rules import LINKS, REG, TODAY, links, register
 from annalist.sources.shared import materialize, table
 
 QUERIES, SQL = {}, {}
@@ -71,7 +73,7 @@ def _blake_index(spark: SparkSession, d: str) -> scan.TextIndex:
 _ASK = """q AS (SELECT request_id AS query_id, max(struct_pack(query := query, source_url := source_url, paragraph_ref := paragraph_ref, day := coalesce(as_of, CAST(asked_at AS DATE)))) AS q
     FROM query_requests WHERE request_id % 20 = 0 AND query IS NOT NULL GROUP BY 1),
   asked AS (SELECT query_id, q.query, q.source_url, q.paragraph_ref, q.day FROM q)"""
-_PASS = """passages AS (SELECT DISTINCT chunk_id, text, document_title, document_id, source_url, paragraph_ref, parent_id, chunk_index, in_force_from, in_force_to FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)"""
+_PASS = """passages AS (SELECT DISTINCT chunk_id, text, document_title, document_id, source_url, paragraph_ref, parent_id, chunk_index, in_force_from, in_force_to, lifecycle, authority_current, is_current, valid_to FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)"""
 _NORM = r"lower(trim(regexp_replace(regexp_replace($X, '\[\^\d{1,3}\]', '', 'g'), '\s+', ' ', 'g')))"
 _BM25 = (
     f"WITH {_ASK}, {_PASS},\n  w AS (SELECT chunk_id, regexp_extract_all({_NORM.replace('$X', 'text')}, '[a-z0-9]+') AS w FROM passages),\n"
@@ -192,14 +194,97 @@ def a17_ndcg10(spark, d):
     return M.ndcg(hits.select("query_id", F.col("chunk_id").alias("gold"), "rank"), gold)
 
 
-@query()
+def _cites(p: DataFrame) -> DataFrame:
+    """chunk_id, target, place: from each passage to the first passage with a paragraph number that it names."""
+    first = p.filter("paragraph_ref is not null").groupBy("document_id", F.col("paragraph_ref").alias("label")).agg(F.min(F.struct("chunk_index", "chunk_id")).alias("t"))
+    cites = S.paragraph_references(p).join(first, ["document_id", "label"]).select("chunk_id", F.col("t.chunk_id").alias("target"), "place")
+    return cites.filter("chunk_id <> target").groupBy("chunk_id", "target").agg(F.min("place").alias("place"))
+
+
+def _pipeline(spark, d):
+    """All stages of the approved retrieval; the cross references lead to the first passage with a paragraph's number."""
+    p = passages(spark, d)
+    rows = p.select("chunk_id", "text", "lifecycle", "authority_current", "is_current", "in_force_from", "in_force_to", "valid_to")
+    q = asked(spark, d).select("query_id", "query", "day")
+    return P.retrieve(q, rows, "chunk_id", "text", _bm25(spark, d, R.DEPTH), _blended(spark, d, R.DEPTH), _cites(p), E.is_current_guidance(F.col("day"), TODAY), E.why_excluded(F.col("day")), P.overlap_reranker), q
+
+
+_STAGES = (
+    _BM25 + ", " + _BLEND.split(_PASS + ",", 1)[1] + r""",
+  f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(rank) FILTER (n = 0) AS r0, min(rank) FILTER (n = 1) AS r1 FROM (SELECT query_id, chunk_id, rank, 0 AS n FROM bm WHERE rank <= 100 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM br WHERE rank <= 100) GROUP BY 1, 2),
+  fused AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST, chunk_id) AS rank FROM f),
+  nm AS (SELECT chunk_id, document_id, list_filter(regexp_extract_all(text, '(?i:\b(?:paragraphs?|paras?)\s+\d{1,3}\b(?:\s*(?:,|and|to)\s*\d{1,3}\b)*)(?:$ELSE)?'), lambda x: NOT regexp_matches(x, '$ELSE$')) AS ms FROM passages),
+  ll AS (SELECT chunk_id, document_id, flatten(list_transform(ms, lambda x: regexp_extract_all(x, '\d+'))) AS ls FROM nm),
+  lb AS (SELECT chunk_id, document_id, unnest(ls) AS label, unnest(range(len(ls))) AS place FROM ll),
+  fp AS (SELECT document_id, paragraph_ref AS label, min_by(chunk_id, struct_pack(i := chunk_index, c := chunk_id)) AS target FROM passages WHERE document_id IS NOT NULL AND paragraph_ref IS NOT NULL GROUP BY 1, 2),
+  cites AS (SELECT chunk_id, target, min(place) AS place FROM lb JOIN fp USING (document_id, label) WHERE target <> chunk_id GROUP BY 1, 2),
+  ex0 AS (SELECT query_id, chunk_id, 0 AS part, rank AS a, 0 AS b FROM fused WHERE rank <= 5 UNION ALL SELECT query_id, chunk_id, 2, rank, 0 FROM fused WHERE rank > 5
+    UNION ALL SELECT query_id, target, 1, rank, place FROM fused JOIN cites USING (chunk_id) WHERE rank <= 5 AND (query_id, target) NOT IN (SELECT (query_id, chunk_id) FROM fused WHERE rank <= 5)),
+  ex1 AS (SELECT query_id, chunk_id, min(struct_pack(part := part, a := a, b := b)) AS spot FROM ex0 GROUP BY 1, 2),
+  expanded AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY spot, chunk_id) AS rank FROM ex1),
+  judged AS (SELECT e.*, q.query, q.day, p.text, coalesce(upper(trim(lifecycle)), 'UNKNOWN') AS st, p.* EXCLUDE (chunk_id, text),
+    CASE WHEN q.day >= $TODAY THEN coalesce(authority_current, false) AND coalesce(is_current, true) AND coalesce(in_force_from <= q.day, true) AND coalesce(q.day < in_force_to, true)
+      ELSE coalesce(upper(trim(lifecycle)), '') NOT IN ('REVIEW_REQUIRED', 'UNKNOWN') AND coalesce(in_force_from <= q.day, true) AND coalesce(q.day < in_force_to, true) AND coalesce(q.day < CAST(valid_to AS DATE), true) END AS holds
+    FROM expanded e JOIN asked q USING (query_id) JOIN passages p USING (chunk_id)),
+  held AS (SELECT query_id, chunk_id, query, text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS before FROM judged WHERE holds QUALIFY before <= 30),
+  wd AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS qw, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tw FROM held),
+  rr AS (SELECT query_id, chunk_id, before, CASE WHEN len(qw) > 0 THEN round(len(list_intersect(qw, tw)) / len(qw), 3) ELSE 0 END AS score FROM wd),
+  reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS rank FROM rr)""".replace("$ELSE", S.ELSEWHERE)
+).replace("$TODAY", f"DATE '{TODAY}'")
+
+
+@query(_STAGES + " SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, round(1.0 / rank, 6) AS position_score FROM reranked WHERE rank <= 5")
+def r10_pipeline(spark, d):
+    return _pipeline(spark, d)[0].results
+
+
+@query(_STAGES + " SELECT query_id, chunk_id, CAST(before AS INT) AS before, CAST(rank AS INT) AS rank, CAST(score AS DOUBLE) AS score FROM reranked")
+def r8_reranked(spark, d):
+    """Ranks before and after re-ranking, of the candidates in force."""
+    return _pipeline(spark, d)[0].reranked
+
+
+@query(_STAGES + """ SELECT query_id, chunk_id, CASE WHEN st IN ('REVIEW_REQUIRED', 'UNKNOWN') THEN 'unsettled' WHEN in_force_from > day THEN 'starts ' || in_force_from::VARCHAR WHEN in_force_to <= day THEN 'ended ' || in_force_to::VARCHAR
+  WHEN NOT coalesce(is_current, true) THEN 'older version' ELSE lower(st) END AS reason FROM judged WHERE rank <= 30 AND NOT holds""")
+def r7_removed(spark, d):
+    """What the in-force filter removed among the first candidates, and why."""
+    return _pipeline(spark, d)[0].removed
+
+
+@query(_STAGES + """, n AS (SELECT query_id, 'lexical' AS stage, chunk_id, rank FROM bm WHERE rank <= 100 UNION ALL SELECT query_id, 'dense', chunk_id, rank FROM br WHERE rank <= 100 UNION ALL SELECT query_id, 'fused', chunk_id, rank FROM fused
+    UNION ALL SELECT query_id, 'expanded', chunk_id, rank FROM expanded UNION ALL SELECT query_id, 'in_force', chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) FROM judged WHERE holds
+    UNION ALL SELECT query_id, 'reranked', chunk_id, rank FROM reranked UNION ALL SELECT query_id, 'cut', chunk_id, rank FROM reranked WHERE rank <= 5),
+  gg AS (SELECT query_id, stage, count(*) AS n, string_agg(chunk_id, ' ' ORDER BY rank) FILTER (rank <= 10) AS best FROM n GROUP BY 1, 2)
+  SELECT query_id, stage, 'done' AS status, coalesce(n, 0) AS n, coalesce(best, '') AS best FROM asked CROSS JOIN unnest(['lexical', 'dense', 'fused', 'expanded', 'in_force', 'reranked', 'cut']) t(stage) LEFT JOIN gg USING (query_id, stage)""")
+def r20_stage_trace(spark, d):
+    """Per request a row for each stage: how many it left of the ranking's first hundred, and the best ids."""
+    return _pipeline(spark, d)[0].stages.withColumn("best", F.array_join("best", " "))
+
+
+@query(_STAGES + ", t AS (SELECT query_id, max(score) AS top FROM reranked GROUP BY 1) SELECT query_id, CASE WHEN coalesce(top, 0) < 0.34 THEN 'out_of_scope' ELSE 'grounded' END AS status, CAST(coalesce(top, 0) AS DOUBLE) AS top FROM asked LEFT JOIN t USING (query_id)")
+def r9_grounded(spark, d):
+    got, q = _pipeline(spark, d)
+    return P.grounded(q, got.reranked)
+
+
+@query(_STAGES + """, hit AS (SELECT query_id, min(rank) AS r, min(before) AS b FROM reranked JOIN asked USING (query_id) JOIN passages p USING (chunk_id) WHERE p.source_url = asked.source_url AND p.paragraph_ref = asked.paragraph_ref GROUP BY 1)
+  SELECT count(*) AS n, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_5, round(sum(coalesce(1.0 / r, 0)) / count(*), 4) AS mrr, round(avg(CASE WHEN b <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_5_before, round(sum(coalesce(1.0 / b, 0)) / count(*), 4) AS mrr_before FROM asked LEFT JOIN hit USING (query_id)""")
+def e3_ladder(spark, d):
+    """Recall and MRR of two rungs, without and with the re-ranker, on the same requests."""
+    got, _ = _pipeline(spark, d)
+    q, p = asked(spark, d).select("query_id", "source_url", "paragraph_ref"), passages(spark, d).select("chunk_id", "source_url", "paragraph_ref")
+    hits = got.reranked.join(q.join(p, ["source_url", "paragraph_ref"]).select("query_id", "chunk_id"), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("r"), F.min("before").alias("b"))
+    r = q.join(hits, "query_id", "left")
+    return r.agg(F.count(F.lit(1)).alias("n"), M.recall_at(F.col("r"), 5).alias("recall_5"), M.mrr(F.col("r")).alias("mrr"), M.recall_at(F.col("b"), 5).alias("recall_5_before"), M.mrr(F.col("b")).alias("mrr_before"))
+
+
+_FUSED = "fused AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST, chunk_id) AS rank FROM f)"
+
+
+@query(_STAGES.replace(_FUSED, "fused AS (SELECT query_id, chunk_id, rank FROM bm WHERE rank <= 30)") + " SELECT query_id, chunk_id, CAST(rank AS INT) AS rank FROM expanded")
 def r6_expanded_ranking(spark, d):
     """BM25 with the paragraphs that the best passages name put after them."""
-    p = passages(spark, d)
-    named = S.paragraph_references(p)
-    first = p.filter("paragraph_ref is not null").groupBy("document_id", F.col("paragraph_ref").alias("label")).agg(F.min(F.struct("chunk_index", "chunk_id")).alias("t"))
-    cites = named.join(first, ["document_id", "label"]).select("chunk_id", F.col("t.chunk_id").alias("target"), "place").filter("chunk_id <> target")
-    return R.expand(_bm25(spark, d, 30), "chunk_id", cites)
+    return R.expand(_bm25(spark, d, 30), "chunk_id", _cites(passages(spark, d)))
 
 
 _SECT = rf"""WITH {_PASS}, c AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS cost, count(*) OVER (PARTITION BY parent_id) AS n FROM passages WHERE parent_id IS NOT NULL),
