@@ -146,13 +146,6 @@ def s15_changed_uploads(spark, d):
     return l.agg(F.count_if(F.col("before").isNull()).alias("n_new"), F.count_if(F.col("before") == F.col("content_hash")).alias("n_same"), F.count_if(F.col("before") != F.col("content_hash")).alias("n_changed"))
 
 
-@query("SELECT lang, count(DISTINCT sha256(text)) AS n_missing FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0) GROUP BY 1")
-def s28_cache_misses(spark, d):
-    """Texts that are not in a cache keyed by their hash (here: those of the documents with even ids)."""
-    t = table(spark, d, "documents").filter("text is not null").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
-    return V.delete(t.filter("doc_id % 2 = 1"), t.filter("doc_id % 2 = 0"), "h").groupBy("lang").agg(F.count_distinct("h").alias("n_missing"))
-
-
 @query(
     """WITH p AS (SELECT canonical_url, bool_or(contains(lower(title), 'repeal')) AS detected, bool_or(upper(trim(lifecycle)) IN ('WITHDRAWN', 'REPEALED', 'SUPERSEDED')) AS registered FROM $LOG GROUP BY 1)
   SELECT count(*) FILTER (detected AND registered) AS n_both, count(*) FILTER (detected AND NOT coalesce(registered, false)) AS n_false_alarms, count(*) FILTER (NOT coalesce(detected, false) AND registered) AS n_missed FROM p"""
