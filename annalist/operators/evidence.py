@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from itertools import chain
 
@@ -79,6 +80,49 @@ def best_match(pairs: DataFrame, keys: list[str], old: str, new: str, floor: flo
     return pairs.select(*keys, old, new).mapInPandas(run, ", ".join([*kinds, "old_key int, new_key int, score double"]))
 
 
+#: Characters of a head, and of the groups of characters it is looked up by.
+HEAD, GROUP = 60, 12
+
+
+def _marks(t: str) -> set[int]:
+    """The least hash of the groups of every stretch of HEAD characters: a text that holds a head has the head's mark among its own."""
+    h = [zlib.crc32(t[i : i + GROUP].encode()) for i in range(len(t) - GROUP + 1)]
+    window, out = HEAD - GROUP + 1, set()
+    low: deque[int] = deque()
+    for i, x in enumerate(h):
+        while low and h[low[-1]] >= x:
+            low.pop()
+        low.append(i)
+        if low[0] <= i - window:
+            low.popleft()
+        if i >= window - 1:
+            out.add(h[low[0]])
+    return out
+
+
+def first_with_head(passages: DataFrame) -> DataFrame:
+    """chunk_id, first_chunk: for each passage of HEAD characters or more the first of its document that holds its first HEAD characters.
+
+    ``passages``: chunk_id, document_id, chunk_index, t. Different heads of a document meet only the passages that share their mark, and equal
+    heads and texts are looked at once, so a long document is not compared with itself pair by pair.
+    """
+    kind = passages.schema["document_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame], head: bool) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, i, c, t, m) for d, i, c, t in zip(b["document_id"], b["chunk_index"], b["chunk_id"], b["t"]) for m in _marks(t[:HEAD] if head else t)]
+            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "chunk_id", "t", "mark"])
+
+    long = passages.filter((F.length("t") >= HEAD) & F.col("document_id").isNotNull()).withColumn("head", F.substring("t", 1, HEAD))
+    first = F.min(F.struct("chunk_index", "chunk_id"))
+    schema = f"document_id {kind}, chunk_index int, chunk_id string, t string, mark long"
+    wide = lambda rows, head: rows.select("document_id", "p.chunk_index", "p.chunk_id", "t").mapInPandas(lambda it: run(it, head), schema)
+    texts = wide(long.groupBy("document_id", "t").agg(first.alias("p")), False)
+    heads = wide(long.groupBy("document_id", F.col("head").alias("t")).agg(first.alias("p")), True).select("document_id", "mark", F.col("t").alias("head"))
+    found = texts.join(heads, ["document_id", "mark"]).filter(F.contains("t", "head")).groupBy("document_id", "head").agg(first.alias("p"))
+    return long.select("document_id", "head", "chunk_id").join(found, ["document_id", "head"]).select("chunk_id", F.col("p.chunk_id").alias("first_chunk"))
+
+
 def applied(end: Column, withdrawn_on: Column) -> Column:
     """The end of a rule after a register says it was withdrawn: it only ever moves earlier."""
     return F.least(end, withdrawn_on)

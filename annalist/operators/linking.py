@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 from annalist.operators import segmentation as S
+from annalist.sources.shared import bounded
+
+#: Aliases that may be broadcast; more are joined without a hint.
+MOST_ALIASES = 100_000
 
 #: Words of a sentence that say what it does to the documents it names, the strongest first.
 RELATIONS = (("SUPERSEDES", r"\b(?:supersed\w*|repeal\w*|replac\w*|withdrawn)\b"), ("AMENDS", r"\b(?:amend\w*|modif\w*|substitut\w*)\b"))
@@ -110,20 +114,16 @@ def quotes_found(links: DataFrame, passages: DataFrame, least: int = 12) -> Data
 
 
 def mentions(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """key, entity: whole phrases of a bounded alias table (entity, alias) in texts.
+    """key, entity: whole phrases of an alias table (entity, alias) in texts, of any number of words.
 
-    Phrases of up to four words are looked up by equality, so the aliases needn't be tried one by one.
+    Texts and aliases meet on the alias's longest word; only then the phrase is looked for.
     """
-    words = F.split(T.canonical_name(F.col(text)), " ")
-    n = F.size("w")
-
-    def phrases(k: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
-        return F.when(n >= k, each).otherwise(F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*[phrases(k) for k in (1, 2, 3, 4)]))
-    rows = texts.select(key, words.alias("w")).select(key, F.explode(F.array_distinct(grams)).alias("alias"))
-    return rows.join(F.broadcast(aliases.select("entity", T.canonical_name(F.col("alias")).alias("alias"))), "alias").select(key, "entity").distinct()
+    names = aliases.select("entity", T.canonical_name(F.col("alias")).alias("alias")).filter("alias <> ''").distinct()
+    names = names.withColumn("word", F.array_max(F.transform(F.split("alias", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    rows = texts.select(key, T.canonical_name(F.col(text)).alias("t")).withColumn("word", F.explode(F.array_distinct(F.split("t", " "))))
+    space = F.lit(" ")
+    found = rows.join(bounded(names, MOST_ALIASES), "word").filter(F.contains(F.concat(space, "t", space), F.concat(space, "alias", space)))
+    return found.select(key, "entity").distinct()
 
 
 def one_setting_apart(rungs: list[dict]) -> bool:

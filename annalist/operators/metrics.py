@@ -9,25 +9,45 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.sources.shared import bounded, materialize
 
-def exclusive_quantile(values: Column, p: float) -> Column:
-    """Quantile by the exclusive method (position p (n + 1), interpolated, within the data); null for fewer than two values."""
-    s = F.array_sort(F.collect_list(values))
-    n = F.size(s)
-    at = F.lit(p) * (n + 1)
-    j = F.greatest(F.lit(1), F.least(F.floor(at).cast("int"), n - 1))
-    return F.when(n >= 2, F.element_at(s, j) + (at - j) * (F.element_at(s, j + 1) - F.element_at(s, j)))
+#: Groups that may be broadcast; more are joined without a hint.
+MOST_GROUPS = 100_000
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at place floor(p n) counted from 0, at most the last."""
-    s = F.array_sort(F.collect_list(values))
-    return F.when(F.size(s) > 0, F.element_at(s, F.least(F.floor(F.lit(p) * F.size(s)).cast("int") + 1, F.size(s))))
+#: Groups of fewer rows are ordered whole; of larger ones only what lies within CLOSE of a wanted rank.
+WHOLE, CLOSE = 10_000, 0.001
 
 
-def upper_median(values: Column) -> Column:
-    s = F.array_sort(F.collect_list(values))
-    return F.when(F.size(s) > 0, F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1))
+def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column], shares: list[float]) -> DataFrame:
+    """group, n and per name the exact value at a rank (a whole number made from the column n; rank 1 is the smallest value).
+
+    ``shares``: about where in a group the ranks lie. Approximate percentiles bound each rank from both sides, all rows below are only counted,
+    and just those between the bounds are ordered; so no group is gathered.
+    """
+    rows = rows.select(group, F.col(value).alias("v")).filter("v is not null")
+    sides = [min(1.0, max(0.0, s + x)) for s in shares for x in (-CLOSE, CLOSE)]
+    edges = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", sides, 100_000).alias("e"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    small = F.col("n") <= WHOLE
+    spans = F.array(*[F.struct(F.when(small, F.col("lo")).otherwise(F.get("e", F.lit(2 * i))).alias("lo"), F.when(small, F.col("hi")).otherwise(F.get("e", F.lit(2 * i + 1))).alias("hi")) for i in range(len(shares))])
+    edges = materialize(edges.select(group, "n", spans.alias("spans")), "edges")
+    placed = rows.join(bounded(edges, MOST_GROUPS), group)
+    below = placed.groupBy(group).agg(F.any_value("n").alias("n"), *[F.count_if(F.col("v") < F.col("spans")[i]["lo"]).alias(f"b{i}") for i in range(len(shares))])
+    near = placed.select(group, "v", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(shares) - 1)), lambda i: F.col("v").between(F.get("spans", i)["lo"], F.get("spans", i)["hi"]))).alias("span"))
+    counted = near.groupBy(group, "span", "v").agg(F.count(F.lit(1)).alias("m"))  # equal values are one row
+    counted = counted.withColumn("upto", F.sum("m").over(Window.partitionBy(group, "span").orderBy("v")))
+    j = counted.join(below, group).withColumn("b", F.get(F.array(*[F.col(f"b{i}") for i in range(len(shares))]), F.col("span")))
+    last, first = F.col("b") + F.col("upto"), F.col("b") + F.col("upto") - F.col("m") + 1
+    return j.groupBy(group, "n").agg(*[F.max(F.when(r.between(first, last), F.col("v"))).alias(name) for name, r in ranks.items()])
+
+
+def quantiles(rows: DataFrame, group: str, value: str, p: float = 0.95) -> DataFrame:
+    """group, n, exclusive (position p (n + 1), interpolated, within the data; null for one value), nearest (at floor(p n), from 0), upper_median."""
+    n = F.col("n")
+    spot = F.lit(p) * (n + 1)
+    j = F.greatest(F.lit(1), F.least(F.floor(spot), n - 1))
+    got = at_ranks(rows, group, value, {"x": j, "y": j + 1, "nearest": F.least(F.floor(F.lit(p) * n) + 1, n), "upper_median": F.floor(n / 2) + 1}, [p, 0.5])
+    return got.select(group, "n", F.when(n > 1, F.col("x") + (spot - j) * (F.col("y") - F.col("x"))).alias("exclusive"), "nearest", "upper_median")
 
 
 def recall_at(rank: Column, k: int) -> Column:
@@ -89,11 +109,11 @@ def _weights(h: np.ndarray, resamples: np.ndarray) -> np.ndarray:
     return w
 
 
-def bootstrap_mean(rows: DataFrame, value: str, resamples: int = 2000, seed: int = 7) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, value: str, key: list[str], resamples: int = 2000, seed: int = 7) -> DataFrame:
     """Mean and the 2.5 % and 97.5 % percentiles of resampled means.
 
     Poisson weights of a hash stand for drawing with replacement, so rows are never multiplied: each row adds to every resample's two
-    sums on its own task, and the shuffle carries a row per task and resample.
+    sums on its own task, and the shuffle carries a row per task and resample. ``key``: what tells rows apart, so that a task run again draws the same.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,16 +124,16 @@ def bootstrap_mean(rows: DataFrame, value: str, resamples: int = 2000, seed: int
                 sums += pair[:, at : at + 256] @ _weights(h[at : at + 256], numbers).astype("float64")
         yield pd.DataFrame({"r": numbers.astype("int64"), "s": sums[0], "w": sums[1]})
 
-    rows = rows.select(F.col(value).cast("double").alias("v"), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("h")).filter("v is not null")
+    rows = rows.select(F.col(value).cast("double").alias("v"), F.xxhash64(*key, F.lit(seed)).alias("h")).filter("v is not null")
     means = rows.mapInPandas(run, "r long, s double, w double").groupBy("r").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m")).filter("m is not null")
     return means.agg(F.round(F.avg("m"), 6).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
-def fingerprint(rows: DataFrame, key: str, content: str, buckets: int = 4096) -> DataFrame:
-    """One hash of a table, whatever the order of its rows: a hash per bucket of sorted key:hash pairs, then one over the buckets."""
-    pair = F.concat_ws(":", key, content)
-    parts = rows.groupBy(F.conv(F.substring(F.md5(F.col(key)), 1, 3), 16, 10).cast("int").alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(pair)), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"), F.sum("n").alias("n_rows"))
+def fingerprint(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """One value for a table, whatever the order of its rows: the sums of two parts of each row's digest, and the number of rows. Nothing is gathered."""
+    digest = F.md5(F.concat_ws(":", key, content))
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")).cast("string")
+    return rows.agg(F.concat_ws("-", half(1), half(17)).alias("fingerprint"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def running_rank(scores: DataFrame, key: str) -> DataFrame:

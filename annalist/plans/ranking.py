@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from annalist.functions import text as T
 from annalist.operators import graph as G
 from annalist.operators import eligibility as E
+from annalist.operators import evidence as V
 from annalist.operators import metrics as M
 from annalist.operators import pipeline as P
 from annalist.operators import retrieval as R
@@ -446,7 +447,7 @@ def g3_paragraph_references(spark, d):
 
 @query()
 def a22_bootstrap(spark, d):
-    return M.bootstrap_mean(table(spark, d, "events"), "value")
+    return M.bootstrap_mean(table(spark, d, "events"), "value", ["event_id"])
 
 
 @query(_BM25 + """, t AS (SELECT query_id, max(score) AS top FROM bm GROUP BY 1) SELECT query_id, CASE WHEN coalesce(top, 0) < 12 THEN 'out_of_scope' ELSE 'grounded' END AS status FROM asked LEFT JOIN t USING (query_id)""")
@@ -466,5 +467,4 @@ def f17_page_chrome(spark, d):
 def j12_first_chunk_with_head(spark, d):
     """For each passage the first chunk of its document that holds its first 60 characters."""
     p = passages(spark, d).select("chunk_id", "document_id", "chunk_index", T.normalise(F.col("text")).alias("t"))
-    h = p.filter(F.length("t") >= 60).select(F.col("chunk_id").alias("hid"), "document_id", F.substring("t", 1, 60).alias("head"))
-    return h.join(p, "document_id").filter(F.contains("t", "head")).groupBy(F.col("hid").alias("chunk_id")).agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("first_chunk"))
+    return V.first_with_head(p)

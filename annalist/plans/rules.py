@@ -242,8 +242,8 @@ def a5_topics(spark, d):
 @query("""WITH e AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1), j AS (SELECT *, greatest(1, least(CAST(floor(0.95 * (n + 1)) AS BIGINT), n - 1)) AS j FROM e)
   SELECT event_type, n, round(v[j] + (0.95 * (n + 1) - j) * (v[j + 1] - v[j]), 6) AS p95_exclusive, v[least(CAST(floor(0.95 * n) AS BIGINT) + 1, n)] AS p95_nearest, v[CAST(floor(n / 2.0) AS BIGINT) + 1] AS upper_median FROM j""")
 def a13_latency_quantiles(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").filter("value is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(M.exclusive_quantile(v, 0.95), 6).alias("p95_exclusive"), M.nearest_rank(v, 0.95).alias("p95_nearest"), M.upper_median(v).alias("upper_median"))
+    q = M.quantiles(table(spark, d, "events"), "event_type", "value")
+    return q.select("event_type", "n", F.round("exclusive", 6).alias("p95_exclusive"), F.col("nearest").alias("p95_nearest"), "upper_median")
 
 
 @query("SELECT event_type, round(median(value), 6) AS median, round(avg(value), 6) AS mean FROM events GROUP BY 1")
@@ -277,8 +277,7 @@ def a19_confusion(spark, d):
     return both.groupBy("was", "is_now").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH p AS (SELECT CAST(('0x' || substr(md5(chunk_id), 1, 3)) AS INT) AS b, concat_ws(':', chunk_id, sha256(text)) AS x FROM (SELECT DISTINCT chunk_id, text FROM chunks)),
-  h AS (SELECT b, sha256(string_agg(x, chr(10) ORDER BY x)) AS h, count(*) AS n FROM p GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_rows FROM h""")
+@query("""WITH p AS (SELECT md5(concat_ws(':', chunk_id, sha256(text))) AS h FROM (SELECT DISTINCT chunk_id, text FROM chunks)) SELECT CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST(('0x' || substr(h, 17, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint, count(*) AS n_rows FROM p""")
 def a23_fingerprint(spark, d):
     return M.fingerprint(table(spark, d, "chunks").select("chunk_id", F.sha2("text", 256).alias("h")).distinct(), "chunk_id", "h")
 

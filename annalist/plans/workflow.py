@@ -182,7 +182,7 @@ def x15_replacements(spark, d):
 @query("SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS base FROM $REG WHERE length(title) >= 10 AND length(title) < 200 AND NOT contains(title, chr(10)) AND NOT starts_with(lower(title), 'the ')")
 def x16_amendment_base(spark, d):
     r = register(spark, d).filter(r"length(title) >= 10 and length(title) < 200 and not contains(title, '\n') and not startswith(lower(title), 'the ')")
-    said = F.concat(F.lit("Amendment Directions\nPlease refer to the "), "title", F.lit(" (Updated as on May 1, 2024) (hereinafter 'the Directions'). The Directions are modified."))
+    said = F.concat(F.lit("Amendment Directions\nPlease refer to the "), "title", F.lit(" (Updated as on May 1, 2024) (hereinafter 'the Directions'). The Directions are amended."))
     return r.select("id", F.regexp_replace(ST.amendment_base(said), r"\s+", " ").alias("base"))
 
 

@@ -48,8 +48,8 @@ def test_header_facts_on_whole_table(spark, data):
 def test_bootstrap_draws_all_resamples(spark, data):
     events = spark.read.parquet(data + "/events.parquet")
     got = ranking.a22_bootstrap(spark, data).first()
-    assert got == M.bootstrap_mean(events, "value", resamples=2000).first()
-    assert got != M.bootstrap_mean(events, "value", resamples=200).first()
+    assert got == M.bootstrap_mean(events, "value", ["event_id"], resamples=2000).first()
+    assert got != M.bootstrap_mean(events, "value", ["event_id"], resamples=200).first()
     h = np.random.default_rng(1).integers(0, 2**63, 3000, dtype=np.uint64)
     w = M._weights(h, np.arange(2000, dtype=np.uint64)).astype(float)
     assert abs(w.mean() - 1) < 0.002 and abs(w.var() - 1) < 0.005
