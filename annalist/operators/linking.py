@@ -38,14 +38,32 @@ def header_facts(text: Column, head: int = 3000) -> Column:
     return F.struct(numbers.alias("numbers"), F.when(own != "", T.parse_date(dated)).alias("issued"), F.when(alone, F.trim(titled)).alias("title"), F.substring_index(text, "\n", 1).alias("first_line"))
 
 
+#: Numbers printed side by side name one document.
+_GROUP = rf"{_NUMBER}(?:[\s,;/]*{_NUMBER})*"
+#: A statement about a part of a document; a number that only tells where something was announced; a date right after a number.
+PART = r"(?i)\b(?:paragraphs?|paras?|clauses?|sub-clauses?|sections?|chapters?|annex(?:ure)?s?|items?)\b[^.\n]{0,40}\b(?:of|in|from)\b"
+MESSENGER = r"(?i)\b(?:communicated|notified|announced|conveyed|advised)\s+(?:vide|in|through|by)\s+(?:the\s+)?(?:circular|notification|press\s+release)?\s*(?:no\.?)?\s*$"
+DATED = r"^\W{0,3}(?:dated|issued on|of)?\s*((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}|\d{2}[./]\d{2}[./]\d{4})"
+
+
 def statements(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place, relation, target, quote: every sentence that names another document and says what it does to it."""
-    rows = docs.select(key, F.posexplode(T.sentences(F.col(text))).alias("place", "quote"))
+    """key, place, relation, scope, target, dated, quote: every sentence that names other documents and says what it does to them.
+
+    A document's own numbers (of its head) are no target, nor is a number that only announced the change; of numbers printed side by side the
+    first is the target. scope: PARTIAL where a part is named before the number. dated: the date printed right after the numbers.
+    """
+    rows = docs.select(key, text, header_facts(F.col(text)).alias("facts")).select(key, F.col("facts.numbers").alias("own"), F.posexplode(T.sentences(F.col(text))).alias("place", "quote"))
     low, relation = F.lower("quote"), F.lit(None).cast("string")
     for name, pattern in reversed(RELATIONS):
         relation = F.when(low.rlike(pattern), name).otherwise(relation)
-    rows = rows.withColumn("relation", relation).filter("relation is not null")
-    return rows.select(key, "place", "relation", F.explode(F.array_distinct(S.references(F.col("quote")))).alias("target"), "quote")
+    rows = rows.withColumn("relation", relation).filter(F.col("relation").isNotNull() & F.col("quote").rlike(_NUMBER))
+    groups, between = F.regexp_extract_all("quote", F.lit(_GROUP), F.lit(0)), F.split("quote", _GROUP)
+    each = F.transform(groups, lambda g, i: F.struct(T.department_reference(F.regexp_extract(g, _NUMBER, 0)).alias("target"), F.get(between, i).alias("before"), F.get(between, i + 1).alias("after")))
+    rows = rows.select(key, "own", "place", "relation", "quote", F.explode(each).alias("g")).filter(~F.array_contains("own", F.col("g.target")) & ~F.col("g.before").rlike(MESSENGER))
+    part = F.when(F.substring("g.before", -120, 120).rlike(PART), "PARTIAL").otherwise("WHOLE")
+    dated = F.when(F.col("g.after").rlike(DATED), T.parse_date(F.regexp_extract("g.after", DATED, 1)))
+    first = rows.select(key, "place", "relation", part.alias("scope"), F.col("g.target").alias("target"), dated.alias("dated"), "quote")
+    return first.dropDuplicates([key, "place", "relation", "scope", "target", "dated"])
 
 
 def references_within(passages: DataFrame) -> DataFrame:

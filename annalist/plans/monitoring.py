@@ -46,18 +46,24 @@ def x11_header_facts(spark, d):
     return f.select("doc_id", F.array_join("f.numbers", " ").alias("numbers"), "f.issued", "f.title", "f.first_line")
 
 
-_STATED = rf"""s AS (SELECT doc_id, unnest(q) AS quote, unnest(range(len(q))) AS place FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS q FROM documents WHERE text IS NOT NULL)),
+_STATED = rf"""own AS (SELECT doc_id, list_transform(regexp_extract_all(CASE WHEN length(b) < 3000 THEN o ELSE '' END, '{L._NUMBER}'), lambda r: {_KEY.replace('$R', 'r')}) AS own
+    FROM (SELECT doc_id, regexp_extract(text, '(?s)^(.*?)({L._NUMBER}(?:\s*{L._NUMBER})*)', 1) AS b, regexp_extract(text, '(?s)^(.*?)({L._NUMBER}(?:\s*{L._NUMBER})*)', 2) AS o FROM documents WHERE text IS NOT NULL)),
+  s AS (SELECT doc_id, unnest(q) AS quote, unnest(range(len(q))) AS place FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS q FROM documents WHERE text IS NOT NULL)),
   r AS (SELECT *, CASE WHEN regexp_matches(lower(quote), '{L.RELATIONS[0][1]}') THEN 'SUPERSEDES' WHEN regexp_matches(lower(quote), '{L.RELATIONS[1][1]}') THEN 'AMENDS' END AS relation FROM s),
-  stated AS (SELECT doc_id, place, relation, unnest(list_distinct(list_transform({_REFS.replace('$T', 'quote')}, lambda r: {_KEY.replace('$R', 'r')}))) AS target, quote FROM r WHERE relation IS NOT NULL)"""
+  g AS (SELECT doc_id, place, relation, quote, regexp_extract_all(quote, '{L._GROUP}') AS gs, regexp_split_to_array(quote, '{L._GROUP}') AS bs FROM r WHERE relation IS NOT NULL AND regexp_matches(quote, '{L._NUMBER}')),
+  e AS (SELECT doc_id, place, relation, quote, unnest(gs) AS g, unnest(bs[1:len(gs)]) AS before, unnest(bs[2:len(gs) + 1]) AS after FROM g),
+  stated AS (SELECT DISTINCT doc_id, place, relation, CASE WHEN regexp_matches(right(before, 120), '{L.PART}') THEN 'PARTIAL' ELSE 'WHOLE' END AS scope, {_KEY.replace('$R', f"regexp_extract(g, '{L._NUMBER}')")} AS target,
+    coalesce(CAST(try_strptime(regexp_replace(regexp_replace(regexp_extract(after, '{L.DATED}', 1), ',', '', 'g'), '\s+', ' ', 'g'), '%B %d %Y') AS DATE), CAST(try_strptime(replace(regexp_extract(after, '{L.DATED}', 1), '/', '.'), '%d.%m.%Y') AS DATE)) AS dated
+    FROM e JOIN own USING (doc_id) WHERE NOT list_contains(own, {_KEY.replace('$R', f"regexp_extract(g, '{L._NUMBER}')")}) AND NOT regexp_matches(before, '{L.MESSENGER}'))"""
 
 
 def _stated(spark, d):
     return L.statements(table(spark, d, "documents").filter("text is not null"), "doc_id", "text")
 
 
-@query(f"WITH {_STATED} SELECT doc_id, CAST(place AS INT) AS place, relation, target FROM stated")
+@query(f"WITH {_STATED} SELECT doc_id, CAST(place AS INT) AS place, relation, scope, target, dated FROM stated")
 def x14_statements(spark, d):
-    return _stated(spark, d).select("doc_id", "place", "relation", "target")
+    return _stated(spark, d).select("doc_id", "place", "relation", "scope", "target", "dated")
 
 
 @query(

@@ -400,11 +400,6 @@ def g22_chain_ends(spark, d):
     return G.chain_ends(edges(spark, d).filter("type = 'SUPERSEDES'"))
 
 
-@query()
-def g10_components(spark, d):
-    return G.components(edges(spark, d).select("source", "target")).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
-
-
 _SENT = r"SELECT chunk_id, document_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM passages"
 
 

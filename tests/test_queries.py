@@ -1,9 +1,9 @@
 import pytest
 
-from annalist.plans import answers, data_changes, monitoring, ranking, rules, workflow
+from annalist.plans import answers, composed, data_changes, monitoring, ranking, rules, workflow
 from oracle import database, same
 
-MODULES = (data_changes, rules, ranking, answers, monitoring, workflow)
+MODULES = (data_changes, rules, ranking, answers, monitoring, workflow, composed)
 WITH_SQL = [(n, f, m.SQL[n]) for m in MODULES for n, f in m.QUERIES.items() if n in m.SQL]
 WITHOUT = [(n, f) for m in MODULES for n, f in m.QUERIES.items() if n not in m.SQL]
 
