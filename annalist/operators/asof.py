@@ -97,7 +97,7 @@ def _answer(requests: pd.DataFrame, versions: pd.DataFrame) -> pd.DataFrame:
     at, depth = np.searchsorted(days, r["day"].to_numpy()), max(1, int(len(days)).bit_length())
     ask = pd.concat([pd.DataFrame({"row": np.arange(len(r)), "k": r["k"], "node": (lv << 32) + (at >> lv), "asked": r["asked"]}) for lv in range(depth + 1)])
     ask = ask.merge(state[["k", "node"]].drop_duplicates(), on=["k", "node"])
-    db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
     db.register("ask", ask)
     db.register("state", state)
     best = db.execute(

@@ -175,3 +175,24 @@ def e10_replay_report(spark, d):
     share = lambda c: F.round(F.count_if(c) / F.count(F.lit(1)), 6)
     days = F.max(F.when(F.col("in_force_from").isNotNull() & F.col("created_at").isNotNull(), F.greatest(F.lit(0), F.datediff("in_force_from", F.to_date("created_at")))))
     return l.agg(F.count(F.lit(1)).alias("n"), share(F.col("trust") == "AUTO_TRUSTED").alias("auto_share"), share(F.col("relation") == "CANDIDATE").alias("candidate_share"), days.alias("most_days"))
+
+
+@query(r"""WITH $PASS, s AS (SELECT chunk_id, unnest(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(lower(x), '\b(?:must|shall|requires|required to|is required to)\b'))) AS s, text FROM passages),
+  n AS (SELECT chunk_id, s, CAST(regexp_matches(lower(text), '\bnbfc\b') AS INT) + CAST(regexp_matches(lower(text), '\bbank\b') AS INT) + CAST(regexp_matches(lower(text), '\bregulated entities\b') AS INT) AS k FROM s)
+  SELECT 'REQUIRES' AS type, 0.72::DOUBLE AS confidence, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks FROM n UNION ALL SELECT 'APPLIES_TO', 0.66, CAST(sum(k) AS BIGINT), count(DISTINCT chunk_id) FILTER (k > 0) FROM n
+  UNION ALL SELECT 'ISSUED_BY', 0.95, count(*), count(DISTINCT chunk_id) FROM passages WHERE regexp_matches(lower(text), '\bdepartment\b')""")
+def g21_extracted(spark, d):
+    """Edges that fixed words give, by type (the authority being called 'department' in these texts)."""
+    from annalist.operators.extensions import extension
+
+    p = ranking.passages(spark, d).select("chunk_id", F.coalesce("document_title", F.lit("")).alias("title"), "text")
+    return extension("extractor", "words")(p, ["department"]).groupBy("type", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("n_chunks"))
+
+
+@query("""SELECT 'updates' AS step, 'done' AS status, (SELECT count(*) FROM (""" + SQL["m1_updates"] + """)) AS n UNION ALL SELECT 'register', 'done', (SELECT count(*) FROM $REG WHERE id IN (SELECT lower(trim(document_id)) FROM removed_documents WHERE removed_at IS NOT NULL)) UNION ALL SELECT 'broken', 'failed', NULL""")
+def m18_runner(spark, d):
+    """The steps of a run in order; one that fails does not stop the others."""
+    from annalist.operators.extensions import run_steps
+
+    steps = {"updates": lambda: m1_updates(spark, d), "register": lambda: plans_answers.m15_register_applied(spark, d), "broken": lambda: table(spark, d, "no_such_table")}
+    return run_steps(spark, steps).drop("error")

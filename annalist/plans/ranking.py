@@ -308,7 +308,24 @@ def r13_routes(spark, d):
     return table(spark, d, "query_requests").filter("query is not null").select("request_id", "query").distinct().groupBy(R.route(F.col("query")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_T3 = "list_distinct(regexp_extract_all(lower($X), '[a-z0-9]{3,}'))"
+
+
+@query(
+    (
+        _BM25
+        + rf""", ev AS (SELECT query_id, rank, query, coalesce(document_title, '') AS title, p.text FROM bm JOIN asked USING (query_id) JOIN passages p USING (chunk_id) WHERE rank <= 5),
+  qt0 AS (SELECT query_id, rank, text, list_filter({_T3.replace('$X', 'query')}, lambda x: NOT list_contains(['{"', '".join(T.ANSWER_STOPS)}'], x)) AS qw, {_T3.replace('$X', 'title')} AS tw FROM ev),
+  cm AS (SELECT query_id, list(w) AS common FROM (SELECT query_id, w, count(*) AS n FROM (SELECT query_id, unnest(tw) AS w FROM qt0) GROUP BY 1, 2) JOIN (SELECT query_id, count(*) AS m FROM qt0 GROUP BY 1) USING (query_id) WHERE n = m GROUP BY 1),
+  fo AS (SELECT query_id, rank, text, tw, qw, list_filter(qw, lambda x: NOT list_contains(coalesce(common, []), x)) AS own FROM qt0 LEFT JOIN cm USING (query_id)),
+  ft AS (SELECT query_id, rank, text, tw, CASE WHEN len(own) > 0 THEN own ELSE qw END AS terms FROM fo),
+  sn AS (SELECT query_id, rank, tw, terms, unnest(ss) AS raw, unnest(range(len(ss))) AS n FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM ft)),
+  cl AS (SELECT query_id, rank, n, tw, terms, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), '(?i)^chapter [ivxlc]+:\s*', ''), '(?i)^\d+\.\s+[^.]+?\s+([ivxlcdm]+\.\s)', '\1'), '(?i)^[ivxlcdm]+\.\s+', '') AS s FROM sn),
+  sc AS (SELECT query_id, rank, n, s, len(list_intersect(terms, {_T3.replace('$X', 's')})) AS o, len(list_intersect(terms, tw)) AS h FROM cl WHERE length(s) BETWEEN 45 AND 700 AND NOT regexp_matches(lower(s), '{T.CHROME}') AND NOT regexp_matches(lower(s), '\bas (?:below|follows)\s*:')),
+  on1 AS (SELECT *, round(2.0 * o + 0.35 * h, 6) AS score FROM sc WHERE o > 0 QUALIFY row_number() OVER (PARTITION BY query_id, lower(s) ORDER BY score DESC, rank, n) = 1)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, n) AS INT) AS place, s, CAST(score AS DOUBLE) AS score FROM on1 QUALIFY place <= 3"""
+    )
+)
 def r14_answer_sentences(spark, d):
     q, p = asked(spark, d).select("query_id", "query"), passages(spark, d).select("chunk_id", F.col("document_title").alias("title"), "text")
     return R.answer_sentences(_bm25(spark, d, 5).join(p, "chunk_id").join(q, "query_id"))

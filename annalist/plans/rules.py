@@ -153,11 +153,12 @@ def j3_predecessors(spark, d):
     return register(spark, d).filter("successor_document_id is not null").groupBy(F.lower(F.trim("successor_document_id")).alias("id")).agg(F.min(F.struct(F.col("id").alias("p"))).alias("m"), F.count(F.lit(1)).alias("n")).select("id", F.col("m.p").alias("predecessor_id"), "n")
 
 
-@query("SELECT id, first_id FROM (SELECT id, min(id) OVER (PARTITION BY content_hash) AS first_id FROM $REG WHERE content_hash IS NOT NULL) WHERE id <> first_id")
+@query("SELECT version_id, first_id FROM (SELECT version_id, min(version_id) OVER (PARTITION BY content_hash) AS first_id FROM (SELECT DISTINCT version_id, content_hash FROM doc_versions WHERE content_hash IS NOT NULL)) WHERE version_id <> first_id")
 def j5_same_content(spark, d):
-    r = register(spark, d).filter("content_hash is not null").select("id", "content_hash")
-    firsts = r.groupBy("content_hash").agg(F.min("id").alias("first_id"))
-    return r.join(firsts, "content_hash").filter("id <> first_id").select("id", "first_id")
+    """Versions whose content another version had, by the checksum."""
+    v = table(spark, d, "doc_versions").filter("content_hash is not null").select("version_id", "content_hash").distinct()
+    firsts = v.groupBy("content_hash").agg(F.min("version_id").alias("first_id"))
+    return v.join(firsts, "content_hash").filter("version_id <> first_id").select("version_id", "first_id")
 
 
 @query("""WITH u AS (SELECT source_url, max_by(st, id) AS st FROM $REG WHERE source_url IS NOT NULL AND st IS NOT NULL GROUP BY 1)

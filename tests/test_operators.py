@@ -353,3 +353,39 @@ def test_contents_tables_and_long_lines():
 def test_page_lines(spark):
     df = spark.createDataFrame([("d", 1, " 12 \nfirst  \n\nsecond"), ("d", 2, "7 days\n8"), ("d", 3, None), ("d", 4, "")], "id string, page int, text string")
     assert rows(segmentation.page_lines(df, "id", "page", "text")) == [("d", 1, 0, "first"), ("d", 1, 1, "second"), ("d", 2, 0, "7 days"), ("d", 2, 1, "8")]
+
+
+def test_extensions_are_replaceable(spark):
+    from annalist.operators import extensions as X
+
+    df = spark.createDataFrame([("c", "Rules", "The Bank of x shall pay. A bank may. NBFC must report!"), ("n", "Rules", None), ("e", "Rules", "")], "chunk_id string, title string, text string")
+    got = X.extension("extractor", "words")(df, ["Bank of x"])
+    assert sorted((r.type, r.target) for r in got.collect()) == sorted([("ISSUED_BY", "Bank of x"), ("REQUIRES", "The Bank of x shall pay."), ("REQUIRES", "NBFC must report!")] + [("APPLIES_TO", "Banks"), ("APPLIES_TO", "NBFC")] * 2)
+    for name in ("md5", "blake2b"):
+        v = [r.v for r in df.select(X.extension("embedder", name)(F.col("text")).alias("v")).collect()]
+        assert len(v[0]) == 384 and abs(sum(x * x for x in v[0]) - 1) < 1e-9 and v[2] is None
+    X.register("reranker", "none", lambda c: c.withColumn("score", F.lit(0.0)))
+    assert X.extension("reranker", "none") is X.REGISTRIES["reranker"].pop("none")
+    with pytest.raises(ValueError):
+        X.extension("chunker", "unknown")
+    with pytest.raises(TypeError):
+        X.register("store", "x", None)
+    ran = {r.step: r for r in X.run_steps(spark, {"a": lambda: df, "b": lambda: df.select("nothing"), "c": lambda: df.limit(1)}).collect()}
+    assert (ran["a"].n, ran["b"].status, ran["c"].n) == (3, "failed", 1) and ran["b"].error
+
+
+def test_pipeline_goes_on_without_parts(spark):
+    from annalist.operators import pipeline
+
+    q = spark.createDataFrame([(1, "gold loan"), (2, "nothing")], "query_id long, query string")
+    p = spark.createDataFrame([("a", "gold loan limits", True), ("b", "gold", False), ("c", "loan gold", True)], "id string, text string, ok boolean")
+    lexical = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "c", 3)], "query_id long, id string, rank int")
+    bare = pipeline.retrieve(q, p, "id", "text", lexical, k=2)
+    assert rows(bare.results) == [(1, "a", 2, 0.5), (1, "b", 1, 1.0)]
+    s = {(r.query_id, r.stage): (r.status, r.n) for r in bare.stages.collect()}
+    assert s[1, "lexical"] == ("done", 3) and s[1, "dense"] == ("skipped", 0) and s[2, "cut"] == ("done", 0) and len(s) == 14
+    full = pipeline.retrieve(q, p, "id", "text", lexical, lexical, None, F.col("ok"), F.lit("ended"), pipeline.overlap_reranker, k=1, candidates=2)
+    assert rows(full.removed) == [(1, "b", "ended")] and rows(full.results, "id") == [("a",)]
+    assert rows(full.reranked, "id", "before", "rank") == [("a", 1, 1), ("c", 2, 2)]
+    assert rows(pipeline.grounded(q, full.reranked), "query_id", "status") == [(1, "grounded"), (2, "out_of_scope")]
+    assert pipeline.retrieve(q.limit(0), p.limit(0), "id", "text", lexical.limit(0), rerank=pipeline.overlap_reranker).results.count() == 0
