@@ -389,3 +389,11 @@ def test_pipeline_goes_on_without_parts(spark):
     assert rows(full.reranked, "id", "before", "rank") == [("a", 1, 1), ("c", 2, 2)]
     assert rows(pipeline.grounded(q, full.reranked), "query_id", "status") == [(1, "grounded"), (2, "out_of_scope")]
     assert pipeline.retrieve(q.limit(0), p.limit(0), "id", "text", lexical.limit(0), rerank=pipeline.overlap_reranker).results.count() == 0
+
+
+def test_unions_repeat_no_rows(spark, data):
+    """The engine's own partitioning of unions is off once a table was read (it repeated rows of this query)."""
+    from annalist.plans import ranking
+
+    got = rows(ranking.g20_induced_evidence(spark, data), "query_id", "link_id")
+    assert len(got) == len(set(got)) and spark.conf.get(shared.UNIONS) == "false"
