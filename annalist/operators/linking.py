@@ -114,14 +114,24 @@ def in_force_periods(documents: DataFrame, successors: DataFrame, removals: Data
 def candidate_successors(documents: DataFrame) -> DataFrame:
     """For every document that no longer rules the most similar later one of its department: old_id, new_id, shared.
 
-    ``documents``: id, department, issued, title, retired. Joined on department and title word, so documents without a common word never meet.
+    ``documents``: id, department, issued, title, retired. Documents of a department with the same title words are one class; classes, not
+    documents, meet on their words, and of a class the first document after a day is looked up in the order of days.
     """
-    words = documents.filter("department is not null and issued is not null").select("id", "department", "issued", "retired", F.explode(T.keywords(F.col("title"))).alias("w"))
-    old = words.filter("retired").select(F.col("id").alias("old_id"), "department", F.col("issued").alias("old_day"), "w")
-    new = words.filter("not retired").select(F.col("id").alias("new_id"), "department", F.col("issued").alias("new_day"), "w")
-    shared = old.join(new, ["department", "w"]).filter("new_day > old_day").groupBy("old_id", "new_id").agg(F.count(F.lit(1)).alias("shared"), F.min("new_day").alias("new_day"))
-    w = Window.partitionBy("old_id").orderBy(F.desc("shared"), "new_day", "new_id")
-    return shared.withColumn("r", F.row_number().over(w)).filter("r = 1").select("old_id", "new_id", "shared")
+    docs = documents.filter("department is not null and issued is not null").select("id", "department", F.col("issued").alias("day"), "retired", F.array_sort(T.keywords(F.col("title"))).alias("ws")).filter("size(ws) > 0")
+    docs = docs.withColumn("class", F.sha2(F.concat_ws("|", "department", F.array_join("ws", " ")), 256))
+    words = docs.groupBy("class", "retired").agg(F.any_value("department").alias("department"), F.any_value("ws").alias("ws")).select("class", "retired", "department", F.explode("ws").alias("w"))
+    old = words.filter("retired").select(F.col("class").alias("old_class"), "department", "w")
+    new = words.filter("not retired").select("class", "department", "w")
+    pairs = old.join(new, ["department", "w"]).groupBy("old_class", "class").agg(F.count(F.lit(1)).alias("shared"))
+    asked = docs.filter("retired").select(F.col("class").alias("old_class"), "day").distinct().join(pairs, "old_class").select("class", "day", F.lit(0).alias("kind"), "old_class", "shared", F.lit(None).cast("string").alias("new_id"))
+    there = docs.filter("not retired").groupBy("class", "day").agg(F.min("id").alias("new_id")).select("class", "day", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("old_class"), F.lit(None).cast("long").alias("shared"), "new_id")
+    # from the last day back: what was seen last before a question is the first document after its day
+    back = Window.partitionBy("class").orderBy(F.desc("day"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("kind") == 1, F.struct(F.col("day").alias("new_day"), "new_id")), ignorenulls=True).over(back)
+    rows = asked.unionByName(there).withColumn("n", found).filter("kind = 0 and n is not null")
+    best = rows.groupBy("old_class", "day").agg(F.min(F.struct((-F.col("shared")).alias("less"), F.col("n.new_day").alias("new_day"), F.col("n.new_id").alias("new_id"))).alias("b"))
+    own = docs.filter("retired").select(F.col("id").alias("old_id"), F.col("class").alias("old_class"), "day")
+    return own.join(best, ["old_class", "day"]).select("old_id", F.col("b.new_id").alias("new_id"), (-F.col("b.less")).alias("shared"))
 
 
 def quotes_found(links: DataFrame, passages: DataFrame, least: int = 12) -> DataFrame:

@@ -303,7 +303,7 @@ def x3_page_lines(spark, d):
 def w15_token_windows(spark, d):
     """Windows of 500 tokens over whole documents that share 50."""
     docs = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text")
-    return S.window_chunks(docs, 500, 50).select("document_id", "chunk_index", F.size(F.split("text", " ")).alias("n_words"))
+    return S.window_chunks(docs, 500, 50).select("document_id", "chunk_index", F.size(F.split("text", " ")).cast("long").alias("n_words"))
 
 
 # projections, filters and paging
@@ -395,7 +395,7 @@ def u7_expected_found(spark, d):
     p = ranking.passages(spark, d).filter("source_url is not null").select("chunk_id", "source_url")
     f = ranking._bm25(spark, d, 5).join(p, "chunk_id").groupBy("query_id").agg(F.collect_set("source_url").alias("urls"))
     q = ranking.asked(spark, d).filter("source_url is not null").join(f, "query_id", "left")
-    return q.select("query_id", F.coalesce(F.array_contains("urls", F.col("source_url")), F.lit(False)).alias("found"), F.coalesce(F.when(F.col("urls").isNotNull(), F.size("urls")), F.lit(0)).alias("n_found"))
+    return q.select("query_id", F.coalesce(F.array_contains("urls", F.col("source_url")), F.lit(False)).alias("found"), F.coalesce(F.when(F.col("urls").isNotNull(), F.size("urls")), F.lit(0)).cast("long").alias("n_found"))
 
 
 @query(SQL["u7_expected_found"].replace("SELECT query_id, coalesce(list_contains(found, source_url), false) AS found, coalesce(len(found), 0) AS n_found FROM asked", "SELECT query_id, query, coalesce(list_contains(found, source_url), false) AS found FROM asked") + " ORDER BY found, query_id LIMIT 12")
