@@ -58,8 +58,9 @@ def materialize(df: DataFrame, what: str = "part", path: str | None = None) -> D
 
 def bucketed(df: DataFrame, path: str, keys: list[str], n: int) -> DataFrame:
     """Write a table in n buckets by ``keys``, ordered by them in each, so that a join on all the keys needn't move it."""
-    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(f"annalist_{uuid.uuid4().hex}")
-    return open_bucketed(df.sparkSession, path, df.schema, keys, n)
+    name = f"annalist_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return _unnamed(df.sparkSession, name)
 
 
 def open_bucketed(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], n: int) -> DataFrame:
@@ -67,7 +68,14 @@ def open_bucketed(spark: SparkSession, path: str, schema: T.StructType, keys: li
     name, by = f"annalist_{uuid.uuid4().hex}", ", ".join(keys)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{path}'")
-    return spark.table(name)
+    return _unnamed(spark, name)
+
+
+def _unnamed(spark: SparkSession, name: str) -> DataFrame:
+    """The table's rows, and its name out of the catalog again: the files stay, and the plan knows them and their buckets."""
+    df = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return df
 
 
 def bounded(df: DataFrame, most: int) -> DataFrame:

@@ -94,6 +94,7 @@ def test_index_is_kept_and_does_not_move(spark, tmp_path):
     assert rows(again.advance(snapshots.pages_of(snap(spark, days[2])))) == [("s", "a.example/p2", 20108, 20101, "added")]
     new = snapshots.pages_of(snap(spark, days[2])).repartition(3, *snapshots.KEYS).groupBy(*snapshots.KEYS).agg(F.max("text_hash").alias("t"))
     plan = again.pages.join(new.hint("merge"), snapshots.KEYS, "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("annalist_")]
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
