@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter, defaultdict, deque
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,47 +80,83 @@ def best_match(pairs: DataFrame, keys: list[str], old: str, new: str, floor: flo
     return pairs.select(*keys, old, new).mapInPandas(run, ", ".join([*kinds, "old_key int, new_key int, score double"]))
 
 
-#: Characters of a head, and of the groups of characters it is looked up by.
-HEAD, GROUP = 60, 12
+#: Characters of a head, and of a text that are looked at at once; bits of the filter of heads, for each and at most, and bits that a head sets.
+HEAD, STRETCH, BITS, MOST_BITS, SET = 60, 1 << 18, 16, 1 << 27, 4
+_BASE = 0x9E3779B97F4A7C15
+_POWERS, _INVERSE = (np.cumprod(np.full(STRETCH, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-def _marks(t: str) -> set[int]:
-    """The least hash of the groups of every stretch of HEAD characters: a text that holds a head has the head's mark among its own."""
-    h = [zlib.crc32(t[i : i + GROUP].encode()) for i in range(len(t) - GROUP + 1)]
-    window, out = HEAD - GROUP + 1, set()
-    low: deque[int] = deque()
-    for i, x in enumerate(h):
-        while low and h[low[-1]] >= x:
-            low.pop()
-        low.append(i)
-        if low[0] <= i - window:
-            low.popleft()
-        if i >= window - 1:
-            out.add(h[low[0]])
-    return out
+def _numbers(t: str, document: int) -> np.ndarray:
+    """A number for each stretch of HEAD characters, the same for equal stretches of a document: a polynomial in the characters, mixed."""
+    h = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POWERS[: len(h)])])
+    x = ((sums[HEAD:] - sums[:-HEAD]) * _INVERSE[: len(h) - HEAD + 1]) ^ np.uint64(document & (2**64 - 1))
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
-def first_with_head(passages: DataFrame) -> DataFrame:
-    """chunk_id, first_chunk: for each passage of HEAD characters or more the first of its document that holds its first HEAD characters.
+def _bit(x: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The place of the n-th bit that numbers set in a filter."""
+    return ((x & np.uint64(0xFFFFFFFF)) + np.uint64(n) * ((x >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
 
-    ``passages``: chunk_id, document_id, chunk_index, t. Different heads of a document meet only the passages that share their mark, and equal
-    heads and texts are looked at once, so a long document is not compared with itself pair by pair.
-    """
+
+def _kept(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which numbers may be a head's: all their bits are set."""
+    at = np.arange(len(x))
+    for n in range(SET):
+        bit = _bit(x[at], n, 64 * len(words))
+        at = at[(words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+    return at
+
+
+def _filter(long: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the heads of ``long``, of which there are at most n: bits in words of 64. The bits are merged by the executors."""
+    bits = 1 << min(max(6, (BITS * n).bit_length()), MOST_BITS.bit_length() - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.concatenate([np.zeros(0, np.uint64), *(_numbers(t, d) for t, d in zip(b["head"], b["document"]))])
+            bit = np.concatenate([_bit(x, k, bits) for k in range(SET)])
+            yield pd.DataFrame({"word": (bit >> np.uint64(6)).astype(np.int32), "set": (np.uint64(1) << (bit & np.uint64(63))).view(np.int64)})
+
+    merged = long.select("head", "document").mapInPandas(run, "word int, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[merged["word"].to_numpy()] = merged["set"].to_numpy()
+    return words.view(np.uint64)
+
+
+def _long(passages: DataFrame) -> DataFrame:
+    rows = passages.filter((F.length("t") >= HEAD) & F.col("document_id").isNotNull())
+    return rows.withColumn("head", F.substring("t", 1, HEAD)).withColumn("document", F.xxhash64("document_id"))
+
+
+def held_heads(passages: DataFrame) -> DataFrame:
+    """document_id, head, chunk_index, chunk_id: the stretches of HEAD characters of passages that are a head of their document, and a few others that pass for one."""
+    long = _long(passages)
     kind = passages.schema["document_id"].dataType.simpleString()
+    words = passages.sparkSession.sparkContext.broadcast(_filter(long, passages.count()))
 
-    def run(batches: Iterator[pd.DataFrame], head: bool) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, i, c, t, m) for d, i, c, t in zip(b["document_id"], b["chunk_index"], b["chunk_id"], b["t"]) for m in _marks(t[:HEAD] if head else t)]
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "chunk_id", "t", "mark"])
-
-    long = passages.filter((F.length("t") >= HEAD) & F.col("document_id").isNotNull()).withColumn("head", F.substring("t", 1, HEAD))
-    first = F.min(F.struct("chunk_index", "chunk_id"))
-    schema = f"document_id {kind}, chunk_index int, chunk_id string, t string, mark long"
-    wide = lambda rows, head: rows.select("document_id", "p.chunk_index", "p.chunk_id", "t").mapInPandas(lambda it: run(it, head), schema)
-    texts = wide(long.groupBy("document_id", "t").agg(first.alias("p")), False)
-    heads = wide(long.groupBy("document_id", F.col("head").alias("t")).agg(first.alias("p")), True).select("document_id", "mark", F.col("t").alias("head"))
-    found = texts.join(heads, ["document_id", "mark"]).filter(F.contains("t", "head")).groupBy("document_id", "head").agg(first.alias("p"))
-    return long.select("document_id", "head", "chunk_id").join(found, ["document_id", "head"]).select("chunk_id", F.col("p.chunk_id").alias("first_chunk"))
+            rows = []
+            for d, i, c, t, n in zip(b["document_id"], b["chunk_index"], b["chunk_id"], b["t"], b["document"]):
+                for start in range(0, len(t) - HEAD + 1, STRETCH - HEAD + 1):
+                    part = t[start : start + STRETCH]
+                    rows += [(d, h, i, c) for h in {part[k : k + HEAD] for k in _kept(_numbers(part, n), words.value)}]
+            yield pd.DataFrame(rows, columns=["document_id", "head", "chunk_index", "chunk_id"]).astype({"chunk_index": "Int32"})
+
+    return long.select("document_id", "chunk_index", "chunk_id", "t", "document").mapInPandas(run, f"document_id {kind}, head string, chunk_index int, chunk_id string")
+
+
+def first_with_head(passages: DataFrame) -> DataFrame:
+    """chunk_id, first_chunk: for each passage of HEAD characters or more the first of its document that holds its first HEAD characters.
+
+    ``passages``: chunk_id, document_id, chunk_index, t. No text is moved, and no passage meets another: of a text only the stretches go out
+    that pass a filter of all heads, and the first passage of each is an aggregate. The filter has a bounded size; beyond it more stretches pass.
+    """
+    found = held_heads(passages).groupBy("document_id", "head").agg(F.min(F.struct("chunk_index", "chunk_id")).alias("p"))
+    return _long(passages).select("document_id", "head", "chunk_id").join(found, ["document_id", "head"]).select("chunk_id", F.col("p.chunk_id").alias("first_chunk"))
 
 
 def applied(end: Column, withdrawn_on: Column) -> Column:

@@ -293,6 +293,21 @@ def test_heads_meet_the_first_passage_that_holds_them(spark):
     assert {tuple(x) for x in evidence.first_with_head(df).collect()} == want and any(a != b for a, b in want)
 
 
+def test_heads_are_found_without_moving_texts(spark):
+    """Long passages send out little more than the heads they hold; one longer than is looked at at once, and heads across its parts."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzäß語😀", k=r.randrange(2, 9))) for _ in range(400)]
+    texts = [" ".join(r.choices(words, k=600)) for _ in range(200)]
+    vast = " ".join(r.choices(words, k=120_000))
+    assert len(vast) > 2 * evidence.STRETCH
+    cuts = [evidence.STRETCH - k for k in (100, 60, 59, 30, 1)] + [0, len(vast) - 60]
+    data = [(f"c{i:03d}", f"d{i % 9}", i, t) for i, t in enumerate(texts)] + [("vast", "v", 0, vast)] + [(f"v{k}", "v", k + 1, vast[at : at + 60]) for k, at in enumerate(cuts)]
+    df = spark.createDataFrame([(*x[:2], x[2] if x[0] != "c000" else None, x[3]) for x in data], "chunk_id string, document_id string, chunk_index int, t string")
+    sent = evidence.held_heads(df).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("head")).alias("most")).first()
+    assert len(data) <= sent.n < 5 * len(data) + 2000 and sent.most == evidence.HEAD
+    assert {tuple(x) for x in evidence.first_with_head(df).collect()} == {(c, "vast" if d == "v" else c) for c, d, _, _ in data}
+
+
 def test_decisions(spark):
     c = "relation string, scope string, method string, evidence_quote string, n_matched int, new_url string, old_url string, new_day date, old_day date, new_status string, new_id string, old_id string"
     good = ("SUPERSEDES", "WHOLE", "repeal_annex", "q", 1, "https://www.gov.example/a", "https://gov.example/b", dt.date(2024, 1, 2), dt.date(2024, 1, 1), "ACTIVE", "n", "o")
