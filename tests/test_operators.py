@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist.functions import text
-from annalist.operators import eligibility, evidence, graph, metrics, pages, retrieval, scan, segmentation, versions
+from annalist.operators import eligibility, evidence, graph, metrics, pages, pipeline, retrieval, scan, segmentation, versions
 from annalist.sources import files, shared
 from annalist.streaming import monitor
 from helpers import rows
@@ -283,6 +283,54 @@ def test_values_at_ranks(spark, monkeypatch, whole):
         assert got[g].exclusive is None if n == 1 else n < 4 or abs(got[g].exclusive - statistics.quantiles(xs, n=20)[18]) < 1e-9
 
 
+@pytest.mark.parametrize("largest", [False, True])
+def test_best_of_batches_is_the_best_of_all(largest):
+    """Ties by key, scores that round to nothing, queries with few results; what waits stays bounded, and k rows per query are left."""
+    r = np.random.default_rng(5)
+    score = np.round(r.random((6000, 7)) ** 3, 2) + r.choice([0, 3e-7], (6000, 7))
+    score[:, 5], score[:, 6] = 0, np.where(np.arange(6000) % 2000 == 7, 0.5, 4e-7)
+    keys = np.array([f"k{x:05d}" for x in r.permutation(6000)], object)
+    best, k = scan.Best(7, 20, 6, largest), 20
+    for at in range(0, 6000, 500):
+        best.add(score[at : at + 500], keys[at : at + 500])
+        assert best.waiting < k * 7
+    got = {}
+    for q, key, x in zip(*best.found()):
+        got.setdefault(q, []).append((key, x))
+    for q in range(7):
+        every = sorted(zip(keys, np.round(score[:, q], 6)), key=lambda x: x[0], reverse=largest)
+        assert got.get(q, []) == sorted([x for x in every if x[1] > 0], key=lambda x: -x[1])[:k]
+    assert 5 not in got and len(got[6]) == 3
+
+
+def test_words_beyond_the_dense_product_count_alike(spark):
+    texts = [(f"c{i:05d}", f"w{i % 7} w{i % 11} w{i % 600} common") for i in range(5000)]
+    index = scan.TextIndex.build(spark.createDataFrame(texts, "id string, text string").coalesce(1), "id", "text")
+    q = spark.createDataFrame([(i, f"w{i} common") for i in range(600)], "query_id long, query string")
+    got = scan.bm25_top_k(index, q, 3)
+    taken = {tuple(x) for x in got.select("query_id", "id", "rank").collect()}
+    n, words = len(texts), [set(t.split()) for _, t in texts]
+    df = {w: sum(w in x for x in words) for w in {f"w{i}" for i in range(600)} | {"common"}}
+    size = [len(t.split()) for _, t in texts]
+    for i in (0, 3, 10, 300, 599):
+        value = lambda w, t, m: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * m / np.mean(size)))
+        order = sorted((-round(sum(value(w, t.split(), m) for w in (f"w{i}", "common")), 6), c) for (c, t), m in zip(texts, size))[:3]
+        assert {(i, c, k + 1) for k, (_, c) in enumerate(order)} == {x for x in taken if x[0] == i}
+    assert len(taken) == 1800
+
+
+def test_rankings_are_made_once_and_texts_stay(spark, monkeypatch):
+    """What the composed retrieval writes: each ranking once, no texts."""
+    kept = {}
+    monkeypatch.setattr(pipeline, "materialize", lambda df, what: kept.setdefault(what, shared.materialize(df, what)))
+    p = spark.createDataFrame([("a", "gold loan", True), ("b", "gold", False), ("c", "loan", True)], "k string, text string, holds boolean")
+    q = spark.createDataFrame([(1, "gold loan"), (2, "none")], "query_id long, query string")
+    rank = lambda *ks: spark.createDataFrame([(1, k, n + 1) for n, k in enumerate(ks)], "query_id long, k string, rank int")
+    got = pipeline.retrieve(q, p, "k", "text", rank("c", "b"), rank("b", "a"), None, F.col("holds"), None, pipeline.overlap_reranker)
+    assert rows(got.results.select("query_id", "k", "rank")) == [(1, "a", 1), (1, "c", 2)]
+    assert {"lexical", "dense", "fused", "judged", "reranked"} == set(kept) and "text" not in kept["judged"].columns
+
+
 def test_heads_meet_the_first_passage_that_holds_them(spark):
     r = random.Random(9)
     text = lambda n: "".join(r.choices("abc de", k=n)).strip() or "x"
